@@ -1,6 +1,385 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the corpus facts, and the SQL that they are held against.
+
+The facts of a folder of tables are indexed once per session into a store (``store.save``), as a
+user would index a source tree once and ask many questions; the queries read the store. Parameters
+are chosen by a rule, so they exist at every scale: ``hot`` is the uniquely defined name with the
+most confirmed callers, ``common`` the name with the most definitions.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import asof, incremental
+from ..operators.resolve import coverage, resolve_precise
+from ..schema import RESOLUTIONS
+from ..sources import corpus
+from ..store import Facts, fresh_path, save, written
+from . import queries as Q
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+@dataclass
+class Indexed:
+    facts: Facts
+    docs: DataFrame
+    labels: DataFrame
+    hot: str
+    common: str
+    container: str
+    path: str
+    term: str = "there"
+
+
+_indexed: dict[tuple[str, str], Indexed] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Indexed:
+    """The store of a folder's documents, made on the first call of a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexed:
+        docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+        raw = corpus.extract(docs, labels)
+        # Calls read the stored symbols, references the stored calls: each is derived once.
+        sym = written(raw.sym, "sym-raw")
+        call = written(corpus.resolve(corpus.call_sites(docs), sym), "call-raw")
+        raw.sym, raw.call = sym, call
+        raw.ref, raw.extref = corpus.reference_rows(sym, call, docs.select(F.col("doc_id").alias("file_id"), "lang"))
+        facts = save(raw, fresh_path(spark, "store"))
+        hot = Q.unique_names(facts, 1).orderBy(F.desc("n"), "name").first()
+        common = facts.sym.groupBy("name").count().orderBy(F.desc("count"), "name").first()
+        one = Q.defs_of(facts, hot["name"] if hot else "").agg(F.min_by("container", "sym_id")).first()[0]
+        path = facts.file.agg(F.min("path")).first()[0]
+        _indexed[key] = Indexed(facts, docs, labels, hot["name"] if hot else "", common["name"] if common else "", one or "", path or "")
+    return _indexed[key]
+
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: The facts in SQL. Text blocks below add what a query needs.
+FACTS = r"""
+lines AS MATERIALIZED (SELECT doc_id, lang, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln
+  FROM (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+worded AS MATERIALIZED (SELECT *, regexp_extract_all(line, '\p{L}+') AS ws FROM lines),
+firsts AS (SELECT doc_id, lower(arg_min(ws[1], ln)) AS container FROM worded WHERE len(ws) > 0 GROUP BY doc_id),
+tests AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+file AS MATERIALIZED (SELECT doc_id AS file_id, source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, source AS crate_,
+  CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS loc, CAST('0x' || substr(md5(coalesce(text, '')), 1, 8) AS BIGINT) AS hash FROM documents),
+sym AS MATERIALIZED (SELECT w.doc_id * 100000 + ln AS sym_id, lower(ws[1]) AS name, CASE WHEN ln = 1 THEN 4 WHEN ln % 2 = 0 THEN 1 ELSE 0 END AS kind,
+  CAST(ln % 4 AS INTEGER) AS vis, 0 AS is_async, CAST(coalesce(toxic, 0) AS INTEGER) AS is_test, w.doc_id AS file_id, lang AS module, source AS crate_,
+  container, lang || '/' || lower(ws[1]) AS symbol, line AS sig, '' AS doc, CAST(ln AS INTEGER) AS line
+  FROM worded w JOIN firsts USING (doc_id) LEFT JOIN tests ON tests.doc_id = w.doc_id WHERE len(ws) > 0 AND length(ws[1]) >= 3),
+site AS (SELECT (doc_id * 100000 + ln) * 100000 + pos AS call_id, doc_id * 100000 + ln AS caller, lower(w) AS callee, lang, pos,
+  CASE WHEN pos % 5 = 0 THEN 'Self' WHEN pos % 7 = 0 THEN lang ELSE '' END AS qual,
+  CASE WHEN pos % 3 = 0 AND pos % 5 <> 0 AND pos % 7 <> 0 THEN 1 ELSE 0 END AS is_method, doc_id AS file_id, CAST(ln AS INTEGER) AS line
+  FROM (SELECT doc_id, lang, ln, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM worded WHERE len(ws) > 0 AND length(ws[1]) >= 3)
+  WHERE pos > 1 AND length(w) >= 3),
+by_name AS (SELECT name, count(*) AS n, min(sym_id) AS id, count(*) FILTER (WHERE kind = 1) AS mn, min(sym_id) FILTER (WHERE kind = 1) AS mid FROM sym GROUP BY name),
+by_cont AS (SELECT name, container, count(*) AS n, min(sym_id) AS id FROM sym GROUP BY name, container),
+by_tail AS (SELECT name, module, count(*) AS n, min(sym_id) AS id FROM sym GROUP BY name, module),
+asked AS (SELECT s.*, CASE WHEN qual = 'Self' THEN o.container ELSE qual END AS target FROM site s JOIN sym o ON o.sym_id = s.caller),
+call AS MATERIALIZED (SELECT a.*,
+  CASE WHEN qual = '' AND is_method = 1 THEN CASE WHEN coalesce(b.mn, 0) = 0 THEN 0 WHEN b.mn = 1 THEN 1 ELSE 3 END
+       WHEN b.n IS NULL THEN 0
+       WHEN qual = '' THEN CASE WHEN b.n = 1 THEN 1 ELSE 3 END
+       WHEN c.n = 1 THEN 2 WHEN c.n > 1 THEN 3 WHEN t.n = 1 THEN 2 ELSE 0 END AS res,
+  CASE WHEN qual = '' AND is_method = 1 THEN CASE WHEN b.mn = 1 THEN b.mid END
+       WHEN b.n IS NULL THEN NULL
+       WHEN qual = '' THEN CASE WHEN b.n = 1 THEN b.id END
+       WHEN c.n = 1 THEN c.id WHEN c.n > 1 THEN NULL WHEN t.n = 1 THEN t.id END AS callee_sym
+  FROM asked a LEFT JOIN by_name b ON b.name = a.callee LEFT JOIN by_cont c ON c.name = a.callee AND c.container = a.target
+  LEFT JOIN by_tail t ON t.name = a.callee AND t.module = a.target),
+uniq AS (SELECT s.name, s.sym_id, c.n FROM (SELECT name, min(sym_id) AS sym_id FROM sym GROUP BY name HAVING count(*) = 1) s
+  JOIN (SELECT callee_sym, count(*) AS n FROM call WHERE callee_sym IS NOT NULL GROUP BY callee_sym) c ON c.callee_sym = s.sym_id),
+hot AS MATERIALIZED (SELECT name, sym_id FROM uniq ORDER BY n DESC, name LIMIT 1),
+common AS MATERIALIZED (SELECT name FROM sym GROUP BY name ORDER BY count(*) DESC, name LIMIT 1),
+named AS (SELECT s.*, f.path, CASE WHEN container = '' THEN name ELSE container || '::' || name END AS label,
+  list_extract(['fn', 'method', 'struct', 'enum', 'trait', 'const'], kind + 1) AS kind_, list_extract(['pub', 'crate', 'restricted', 'priv'], vis + 1) AS vis_
+  FROM sym s JOIN file f USING (file_id)),
+shown AS (SELECT *, path || ':' || line || chr(9) || vis_ || ' ' || kind_ || ' ' || label || '  (' || crate_ || ')' || CASE WHEN is_test = 1 THEN '  #test' ELSE '' END AS shown FROM named),
+ref AS (SELECT sym_id, file_id, line, 1 AS col, 1 AS role FROM sym UNION ALL
+  SELECT callee_sym, file_id, line, CAST(pos AS INTEGER), CASE pos % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 2 END FROM call WHERE callee_sym IS NOT NULL),
+extref AS (SELECT lang || '/' || callee AS symbol, file_id, line, CAST(pos AS INTEGER) AS col, 8 AS role FROM call WHERE res = 0),
+roled AS (SELECT r.*, CASE role WHEN 1 THEN 'def' WHEN 4 THEN 'write' WHEN 2 THEN 'import' WHEN 8 THEN 'read' ELSE 'ref' END AS role_ FROM ref r)
+"""
+
+_LIST = "SELECT sym_id, path, line, kind_ AS kind, vis_ AS vis, label, shown{more} FROM shown WHERE {where}"
+HOT, COMMON = "(SELECT name FROM hot)", "(SELECT name FROM common)"
+
+
+def query(name: str, sql: str | None, recursive: str = "") -> Callable[[Callable[[Indexed], DataFrame]], Callable]:
+    """Register a query over the index, and its SQL after the facts."""
+
+    def add(f: Callable[[Indexed], DataFrame]) -> Callable[[Indexed], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(indexed(spark, sf_dir))
+        if sql:
+            ORACLES[name] = f"WITH RECURSIVE {FACTS}{', ' + recursive if recursive else ''} {sql}"
+        return f
+
+    return add
+
+
+def _list(where: str, more: str = "") -> str:
+    return _LIST.format(where=where, more=more)
+
+
+# Callers first: the flagship.
+_CONFIRMED = "FROM call c JOIN sym s ON s.sym_id = c.callee_sym JOIN named o ON o.sym_id = c.caller JOIN file f ON f.file_id = c.file_id WHERE s.name = "
+query("callers_confirmed", f"SELECT call_id, callee_sym, f.path, c.line, o.label {_CONFIRMED}{HOT}")(lambda x: Q.callers_confirmed(x.facts, x.hot))
+query("callers_confirmed_source", f"SELECT call_id, callee_sym, f.path, c.line, o.label, CASE WHEN length(trim(o.sig)) > 110 THEN substr(trim(o.sig), 1, 110) || '…' ELSE trim(o.sig) END AS source {_CONFIRMED}{HOT}")(
+    lambda x: Q.callers_confirmed(x.facts, x.hot, with_source=True)
+)
+query("callers_container", f"SELECT call_id, callee_sym, f.path, c.line, o.label {_CONFIRMED}{HOT} AND s.container = (SELECT container FROM sym WHERE name = {HOT})")(
+    lambda x: Q.callers_confirmed(x.facts, x.hot, x.container)
+)
+query(
+    "callers_candidates",
+    "SELECT call_id, f.path, c.line, o.label, list_extract(['unresolved', 'unique', 'qualified', 'ambiguous'], res + 1) AS res "
+    f"FROM call c JOIN named o ON o.sym_id = c.caller JOIN file f ON f.file_id = c.file_id WHERE callee = {COMMON} AND callee_sym IS NULL",
+)(lambda x: Q.callers_candidates(x.facts, x.common))
+query(
+    "callers_summary",
+    f"SELECT sym_id, path, line, label, coalesce(n, 0) AS n FROM named LEFT JOIN (SELECT callee_sym, count(*) AS n FROM call GROUP BY callee_sym) ON callee_sym = sym_id WHERE name = {COMMON}",
+)(lambda x: Q.callers_summary(x.facts, x.common))
+query(
+    "callers_totals",
+    "SELECT *, greatest(0, name_total - confirmed - candidates) AS other FROM ("
+    f"SELECT count(*) FILTER (WHERE callee = {COMMON}) AS name_total, count(*) FILTER (WHERE hit) AS confirmed, count(*) FILTER (WHERE callee = {COMMON} AND callee_sym IS NULL) AS candidates "
+    f"FROM (SELECT c.*, callee_sym IN (SELECT sym_id FROM sym WHERE name = {COMMON}) AS hit FROM call c))",
+)(lambda x: Q.callers_totals(x.facts, x.common))
+query(
+    "callees_resolved",
+    f"SELECT caller, callee_sym, t.path, t.line, t.label, count(*) AS n FROM call c JOIN named t ON t.sym_id = c.callee_sym JOIN sym o ON o.sym_id = c.caller WHERE o.name = {COMMON} GROUP BY ALL",
+)(lambda x: Q.callees_resolved(x.facts, x.common))
+query(
+    "callees_external_top12",
+    f"SELECT callee, count(*) AS n FROM call c JOIN sym o ON o.sym_id = c.caller WHERE o.name = {COMMON} AND callee_sym IS NULL GROUP BY callee ORDER BY n DESC, callee LIMIT 12",
+)(lambda x: Q.callees_external(x.facts, x.common))
+
+# Symbols.
+query("sym_by_name", _list(f"name = {COMMON}", ", sig, doc"))(lambda x: Q.definition(x.facts, x.common))
+query("sym_outline", _list("path = (SELECT min(path) FROM file)", ", sig, doc"))(lambda x: Q.outline(x.facts, x.path))
+query("find_substr", _list("contains(name, 'tion')"))(lambda x: Q.find(x.facts, "TION"))
+query("search_kind_vis", _list("kind = 1 AND vis = 0"))(lambda x: Q.search(x.facts, "kind:method", "vis:pub"))
+query("search_full_facets", _list("kind = 1 AND vis = 0 AND is_test = 0 AND is_async = 0 AND module = 'en' AND crate_ = 'src0'"))(
+    lambda x: Q.search(x.facts, "kind:method", "vis:pub", "test:0", "async:no", "module:en", "crate:src0", "size:9", "vis:public")
+)
+query("search_contradiction", _list("kind = 0 AND kind = 1"))(lambda x: Q.search(x.facts, "kind:fn", "kind:method"))
+query("search_calls_semi", _list(f"kind = 1 AND sym_id IN (SELECT caller FROM call WHERE callee = {COMMON})"))(lambda x: Q.search(x.facts, "kind:method", f"calls:{x.common}"))
+query("search_calls_multi", _list(f"sym_id IN (SELECT caller FROM call WHERE callee = {COMMON}) AND sym_id IN (SELECT caller FROM call WHERE callee = {HOT})"))(
+    lambda x: Q.search(x.facts, f"calls:{x.common}", f"calls:{x.hot}")
+)
+query("role_decode", "SELECT role_ AS role, count(*) AS n FROM roled GROUP BY role_")(lambda x: Q.role_counts(x.facts))
+query(
+    "suggest_top8",
+    "SELECT name, max(score) AS score, min(sym_id) AS sym_id FROM (SELECT name, sym_id, CAST(contains(name, p) AS BIGINT) + CAST(contains(name, p) OR contains(p, name) AS BIGINT) AS score "
+    f"FROM sym, (SELECT {HOT} || 'tion' AS p)) WHERE score > 0 GROUP BY name ORDER BY score DESC, name LIMIT 8",
+)(lambda x: Q.suggestions(x.facts, x.hot + "tion"))
+query("impls_of_trait", "SELECT 'type' AS direction, source AS name, path, 1 AS line FROM documents JOIN file ON file_id = doc_id WHERE lang = 'en'")(lambda x: Q.implementations(x.facts, "en"))
+query("traits_of_type", "SELECT 'trait' AS direction, lang AS name, path, 1 AS line FROM documents JOIN file ON file_id = doc_id WHERE source = 'src0'")(lambda x: Q.implementations(x.facts, "src0"))
+query("trait_frequency", "SELECT lang AS trait_name, count(*) AS n FROM documents GROUP BY lang")(lambda x: Q.trait_counts(x.facts))
+
+# Files, crates, statistics.
+query("files_by_crate", "SELECT crate_, count(*) AS n, CAST(sum(loc) AS BIGINT) AS loc FROM file GROUP BY crate_")(
+    lambda x: x.facts.file.groupBy("crate_").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("loc"))
+)
+query(
+    "edges",
+    "SELECT a.path AS from_path, b.path AS to_path, count(*) AS n FROM call c JOIN sym s ON s.sym_id = c.callee_sym JOIN file a ON a.file_id = c.file_id JOIN file b ON b.file_id = s.file_id WHERE a.path <> b.path GROUP BY 1, 2",
+)(lambda x: Q.edges(x.facts))
+query("resolution_histogram", "SELECT list_extract(['unresolved', 'unique', 'qualified', 'ambiguous'], res + 1) AS res, count(*) AS n FROM call GROUP BY 1")(
+    lambda x: Q.stats(x.facts).select(F.explode(F.create_map(*[v for r in RESOLUTIONS for v in (F.lit(r), F.col(r))])).alias("res", "n"))
+)
+query(
+    "resolution_rate",
+    "SELECT *, CASE WHEN calls = 0 THEN 0 ELSE round((\"unique\" + qualified) * 100.0 / calls, 1) END AS rate FROM (SELECT count(*) AS calls, count(*) FILTER (WHERE res = 0) AS unresolved, "
+    "count(*) FILTER (WHERE res = 1) AS \"unique\", count(*) FILTER (WHERE res = 2) AS qualified, count(*) FILTER (WHERE res = 3) AS ambiguous FROM call)",
+)(lambda x: Q.stats(x.facts))
+query(
+    "stats_sizes",
+    "SELECT 'files' AS what, count(*) AS n FROM file UNION ALL SELECT 'impls', count(*) FROM documents UNION ALL SELECT 'symbols', count(*) FROM sym UNION ALL "
+    "SELECT 'pub', count(*) FILTER (WHERE vis = 0) FROM sym UNION ALL SELECT 'async', 0 UNION ALL SELECT 'tests', count(*) FILTER (WHERE is_test = 1) FROM sym UNION ALL "
+    "SELECT k, count(s.sym_id) FROM (SELECT unnest(['fn', 'method', 'struct', 'enum', 'trait', 'const']) AS k, unnest([0, 1, 2, 3, 4, 5]) AS c) LEFT JOIN sym s ON s.kind = c GROUP BY k",
+)(lambda x: Q.sizes(x.facts))
+query(
+    "crate_sym_counts_top20",
+    "SELECT f.crate_, coalesce(max(s.n), 0) AS n FROM file f LEFT JOIN (SELECT crate_, count(*) AS n FROM sym GROUP BY 1) s ON s.crate_ = f.crate_ GROUP BY f.crate_ ORDER BY n DESC, 1 LIMIT 20",
+)(lambda x: Q.crates(x.facts))
+
+# Text and as-of joins.
+_HITS = "hits AS (SELECT doc_id AS file_id, CAST(ln AS INTEGER) AS ln, line AS text FROM lines WHERE contains(lower(line), 'there'))"
+query("text_hits", f"SELECT path, ln AS line, text FROM hits JOIN file USING (file_id)", _HITS)(
+    lambda x: corpus.lines(x.docs, x.term).join(x.facts.file.select("file_id", "path"), "file_id").select("path", F.col("ln").alias("line"), "text")
+)
+query("text_enclosing", "SELECT h.file_id, h.ln, s.sym_id FROM hits h ASOF LEFT JOIN sym s ON s.file_id = h.file_id AND h.ln >= s.line", _HITS)(
+    lambda x: asof.enclosing(corpus.lines(x.docs, x.term), x.facts.sym).drop("text")
+)
+query("text_doc_of", "SELECT h.file_id, h.ln, s.sym_id FROM hits h ASOF LEFT JOIN sym s ON s.file_id = h.file_id AND h.ln < s.line", _HITS)(
+    lambda x: asof.following(corpus.lines(x.docs, x.term), x.facts.sym).drop("text")
+)
+query(
+    "text_annotated",
+    "SELECT path, ln AS line, 'in' AS note, n.label, CASE WHEN length(trim(text)) > 120 THEN substr(trim(text), 1, 120) || '…' ELSE trim(text) END AS text "
+    "FROM (SELECT h.*, s.sym_id FROM hits h ASOF LEFT JOIN sym s ON s.file_id = h.file_id AND h.ln >= s.line) h JOIN file USING (file_id) LEFT JOIN (SELECT sym_id, label FROM named) n ON n.sym_id = h.sym_id",
+    _HITS,
+)(lambda x: Q.text(x.facts, x.term))
+query(
+    "read_body",
+    f"SELECT s.sym_id, CAST(l.ln AS INTEGER) AS ln, l.line AS text FROM sym s JOIN lines l ON l.doc_id = s.file_id AND l.ln = s.line WHERE name = {COMMON}",
+)(lambda x: Q.body(x.facts, x.common))
+
+# The graph.
+_EDGES = "e AS MATERIALIZED (SELECT DISTINCT caller, callee_sym FROM call WHERE callee_sym IS NOT NULL)"
+_REACH = (
+    f"{_EDGES}, walk(sym_id, d) AS (SELECT sym_id, 0 FROM sym WHERE name = {HOT} UNION SELECT e.caller, d + 1 FROM walk JOIN e ON e.callee_sym = walk.sym_id WHERE d < 64), "
+    f"layers AS (SELECT sym_id, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY sym_id HAVING min(d) > 0)"
+)
+query("impact_layers", "SELECT depth, path, line, sym_id, label, is_test FROM layers JOIN named USING (sym_id)", _REACH)(lambda x: Q.impact(x.facts, x.hot))
+query("impact_depth_counts", "SELECT depth, count(*) AS n FROM layers GROUP BY depth", _REACH)(lambda x: Q.impact_counts(x.facts, x.hot))
+query(
+    "impact_topn_per_layer",
+    "SELECT * FROM (SELECT depth, CAST(row_number() OVER (PARTITION BY depth ORDER BY path, line, sym_id) AS INTEGER) AS rank, path, line, sym_id, label FROM layers JOIN named USING (sym_id)) WHERE rank <= 50",
+    _REACH,
+)(lambda x: Q.impact_top(x.facts, x.hot, Q.LIMIT))
+query("tests_reaching", "SELECT depth, path, line, sym_id, label FROM layers JOIN named USING (sym_id) WHERE is_test = 1", _REACH)(lambda x: Q.tests_reaching(x.facts, x.hot))
+query(
+    "path_hops",
+    "SELECT CAST(count(*) AS BIGINT) AS found, CAST(coalesce(min(d), -1) AS INTEGER) AS hops FROM (SELECT min(d) AS d FROM walk JOIN sym USING (sym_id) WHERE name = (SELECT name FROM hot) HAVING min(d) IS NOT NULL)",
+    f"{_EDGES}, walk(sym_id, d) AS (SELECT sym_id, 0 FROM sym WHERE name = {COMMON} UNION SELECT e.callee_sym, d + 1 FROM walk JOIN e ON e.caller = walk.sym_id WHERE d < 64)",
+)(lambda x: Q.call_path(x.facts, x.common, x.hot).agg(F.coalesce(F.max(F.lit(1)), F.lit(0)).cast("long").alias("found"), F.coalesce(F.max("hop"), F.lit(-1)).alias("hops")))
+
+# References, also across repositories.
+query("refs_rows", f"SELECT sym_id, path, r.line, r.col, role_ AS role FROM roled r JOIN file USING (file_id) JOIN (SELECT sym_id FROM sym WHERE name = {HOT}) USING (sym_id)")(lambda x: Q.refs(x.facts, x.hot))
+query(
+    "refs_summary", f"SELECT sym_id, path, line, label, coalesce(n, 0) AS n FROM named LEFT JOIN (SELECT sym_id AS i, count(*) AS n FROM ref GROUP BY 1) ON i = sym_id WHERE name = {COMMON}"
+)(lambda x: Q.refs_summary(x.facts, x.common))
+query(
+    "across_counts",
+    f"""SELECT coalesce(d.repo, c.repo) AS repo, coalesce(n_defs, 0) AS n_defs, coalesce(n_confirmed, 0) AS n_confirmed, coalesce(n_name, 0) AS n_name
+FROM (SELECT crate_ AS repo, count(*) AS n_defs FROM sym WHERE name = {COMMON} GROUP BY 1) d
+FULL JOIN (SELECT crate_ AS repo, count(*) AS n_name FROM call JOIN file USING (file_id) WHERE callee = {COMMON} GROUP BY 1) c ON c.repo = d.repo
+LEFT JOIN (SELECT f.crate_ AS repo, count(*) AS n_confirmed FROM call c JOIN file f USING (file_id) JOIN sym s ON s.sym_id = c.callee_sym WHERE s.name = {COMMON} AND s.crate_ = f.crate_ GROUP BY 1) o
+  ON o.repo = coalesce(d.repo, c.repo)""",
+)(lambda x: Q.across_counts(x.facts, x.common))
+query(
+    "across_top3_defs",
+    f"SELECT * FROM (SELECT crate_ AS repo, CAST(row_number() OVER (PARTITION BY crate_ ORDER BY sym_id) AS INTEGER) AS rank, sym_id, path, line FROM named WHERE name = {COMMON}) WHERE rank <= 3",
+)(lambda x: Q.across_defs(x.facts, x.common))
+query(
+    "across_extrefs",
+    f"SELECT symbol, def_repo, f.crate_ AS repo, count(*) AS n FROM extref JOIN (SELECT DISTINCT symbol, crate_ AS def_repo FROM sym WHERE name = {COMMON}) USING (symbol) JOIN file f USING (file_id) WHERE f.crate_ <> def_repo GROUP BY ALL",
+)(lambda x: Q.across_refs(x.facts, x.common))
+
+# Call analysis.
+query(
+    "classify_calls",
+    "SELECT callee AS name, count(*) FILTER (WHERE s.name = callee) AS sure, count(*) FILTER (WHERE callee_sym IS NOT NULL AND s.name <> callee) AS other, count(*) FILTER (WHERE callee_sym IS NULL) AS cand "
+    "FROM call c LEFT JOIN sym s ON s.sym_id = c.callee_sym WHERE callee IN (SELECT DISTINCT name FROM sym WHERE kind <= 1 AND strlen(name) >= 3) GROUP BY callee",
+)(lambda x: Q.classify_calls(x.facts, Q.called_names(x.facts)))
+query("unique_def_ranked", "SELECT name, sym_id, n FROM uniq WHERE n >= 3")(lambda x: Q.unique_names(x.facts))
+query("called_names", "SELECT DISTINCT name FROM sym WHERE kind <= 1 AND strlen(name) >= 3 AND name IN (SELECT callee FROM call)")(lambda x: Q.called_names(x.facts))
+query("median_callers", "SELECT coalesce(max(n), 0) AS median FROM (SELECT n, row_number() OVER (ORDER BY n) AS i, count(*) OVER () AS total FROM uniq) WHERE i = total // 2 + 1")(lambda x: Q.median_callers(x.facts))
+query("hottest_call", "SELECT callee, count(*) AS n FROM call GROUP BY callee ORDER BY n DESC, callee LIMIT 1")(lambda x: Q.hottest_call(x.facts))
+query(
+    "grep_noise",
+    r"""SELECT name, grep, sure, cand, CASE WHEN grep > 0 THEN greatest(0, grep - sure - cand) / grep ELSE 0.0 END AS noise FROM (
+SELECT u.name, coalesce(g, 0) AS grep, coalesce(sure, 0) AS sure, coalesce(cand, 0) AS cand FROM (SELECT name FROM uniq WHERE n >= 3) u
+LEFT JOIN (SELECT w AS name, count(*) AS g FROM (SELECT unnest(list_distinct(regexp_extract_all(line, '([0-9A-Za-z_]+)[ \t]*\(', 1))) AS w FROM lines) GROUP BY 1) x ON x.name = u.name
+LEFT JOIN (SELECT callee AS name, count(*) FILTER (WHERE s.name = callee) AS sure, count(*) FILTER (WHERE callee_sym IS NULL) AS cand FROM call c LEFT JOIN sym s ON s.sym_id = c.callee_sym GROUP BY 1) k ON k.name = u.name)""",
+)(lambda x: Q.grep_noise(x.facts, Q.unique_names(x.facts).select("name")))
+query(
+    "word_lines", f"SELECT path, CAST(ln AS INTEGER) AS line FROM lines JOIN file ON file_id = doc_id WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])' || {HOT} || '($|[^A-Za-z0-9_])')"
+)(lambda x: Q.word_lines(x.facts, x.hot))
+query(
+    "read_bytes",
+    f"""SELECT CAST(sum(h) AS BIGINT) AS hits, count(*) AS files, count(*) + 1 AS calls, CAST(sum(b) AS BIGINT) AS bytes FROM (
+SELECT file_id, sum(CASE WHEN hit THEN strlen(path) + 8 + size ELSE 0 END + CASE WHEN abs(ln - first) <= 20 THEN size ELSE 0 END) AS b, count(*) FILTER (WHERE hit) AS h FROM (
+SELECT doc_id AS file_id, ln, strlen(line) + 1 AS size, contains(lower(line), {HOT}) AS hit, min(CASE WHEN contains(lower(line), {HOT}) THEN ln END) OVER (PARTITION BY doc_id) AS first FROM lines)
+JOIN file USING (file_id) WHERE first IS NOT NULL GROUP BY file_id)""",
+)(lambda x: Q.read_bytes(x.facts, x.hot))
+query("largest_files_top5", "SELECT path, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines JOIN file ON file_id = doc_id GROUP BY path ORDER BY bytes DESC, path LIMIT 5")(lambda x: Q.largest_files(x.facts))
+query("faceted_count", "SELECT count(*) AS n FROM sym WHERE kind = 1 AND vis = 0 AND is_test = 0")(lambda x: Q.search(x.facts, "kind:method", "vis:pub", "test:0").agg(F.count(F.lit(1)).alias("n")))
+query("fnv_hash", None)(lambda x: x.docs.select("doc_id", S.fnv1a(F.col("lang")).alias("h")))
+ORACLES["fnv_hash"] = """
+SELECT doc_id, CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(range(1, length(lang) + 1), lambda i: CAST(ascii(lang[i]) AS HUGEINT))),
+  lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS BIGINT) AS h FROM documents
+"""
+
+# Change. The old snapshot lacks some documents, has others cut in half and some that are gone now.
+_OLD = """
+old AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0
+  UNION ALL SELECT doc_id + 1000000, lang, source, text FROM documents WHERE doc_id % 13 = 0),
+old_file AS (SELECT doc_id, source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, md5(text) AS hash FROM old),
+new_file AS (SELECT doc_id, source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, md5(text) AS hash FROM documents),
+changed AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS status, o.doc_id AS old_id, n.doc_id AS new_id
+  FROM old_file o FULL JOIN new_file n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.hash <> n.hash)
+"""
+
+
+def snapshot(docs: DataFrame) -> DataFrame:
+    """The documents as they were before."""
+    half = F.expr("substring(text, 1, CAST(length(text) DIV 2 AS INT))")
+    was = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, half).otherwise(F.col("text")))
+    return was.unionByName(docs.where("doc_id % 13 = 0").withColumn("doc_id", F.col("doc_id") + 1000000))
+
+
+def refreshed(x: Indexed) -> tuple[Facts, DataFrame, DataFrame]:
+    """The facts after the incremental refresh from the snapshot, the changed files, and the
+    affected names."""
+    before = corpus.extract(snapshot(x.docs), x.labels)
+    changed = incremental.changed_files(before.file, corpus.files(x.docs))
+    ids = corpus.files(x.docs).join(changed, "path", "left_semi").select(F.col("file_id").alias("doc_id"))
+    now = x.docs.join(ids, "doc_id", "left_semi")
+    fresh = corpus.extract(now, x.labels)
+    names = incremental.affected_names(before, fresh.sym, changed)
+    return incremental.refresh(before, fresh, corpus.call_sites(now), changed), changed, names
+
+
+query("changed_files", "SELECT path, status FROM changed", _OLD)(lambda x: refreshed(x)[1])
+ORACLES["changed_files"] = f"WITH {_OLD} SELECT path, status FROM changed"
+query(
+    "affected_names",
+    r"""SELECT DISTINCT name FROM (
+SELECT lower(w[1]) AS name FROM (SELECT regexp_extract_all(l, '\p{L}+') AS w FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM old WHERE doc_id IN (SELECT old_id FROM changed))) WHERE len(w) > 0 AND length(w[1]) >= 3
+UNION ALL SELECT name FROM sym WHERE file_id IN (SELECT new_id FROM changed))""",
+    _OLD,
+)(lambda x: refreshed(x)[2])
+query("incremental_callers", f"SELECT call_id, callee_sym, f.path, c.line, o.label {_CONFIRMED}{HOT}")(lambda x: Q.callers_confirmed(refreshed(x)[0], x.hot))
+query("incremental_histogram", "SELECT CAST(res AS INTEGER) AS res, count(*) AS n, count(callee_sym) AS found, CAST(sum(callee_sym % 1000003) AS BIGINT) AS digest FROM call GROUP BY res")(
+    lambda x: refreshed(x)[0].call.groupBy("res").agg(F.count(F.lit(1)).alias("n"), F.count("callee_sym").alias("found"), F.sum(F.col("callee_sym") % 1000003).alias("digest"))
+)
+query("stale_files", "SELECT path FROM file WHERE hash % 1000 > 900")(
+    # A listing with modification times made of the hashes, against an index built at second 900.
+    lambda x: incremental.stale_files(x.facts.file.select("path", F.timestamp_seconds(F.col("hash") % 1000).alias("modificationTime")), 900)
+)
+
+# Precise symbols by position: even documents have occurrences, odd ones are silent.
+_OCC = r"""known AS (SELECT symbol, max(sym_id) AS known FROM sym GROUP BY symbol),
+precise AS (SELECT c.*, CASE WHEN c.file_id % 2 = 0 THEN k.known ELSE c.callee_sym END AS p_sym,
+  CASE WHEN c.file_id % 2 = 0 THEN CASE WHEN k.known IS NULL THEN 0 ELSE 1 END ELSE c.res END AS p_res FROM call c LEFT JOIN known k ON k.symbol = c.lang || '/' || c.callee)"""
+query("scip_resolved", "SELECT CAST(p_res AS INTEGER) AS res, count(*) AS n, count(p_sym) AS found, CAST(sum(p_sym % 1000003) AS BIGINT) AS digest FROM precise GROUP BY p_res", _OCC)(
+    lambda x: resolve_precise(corpus.call_sites(x.docs), x.facts.sym, x.facts.file, corpus.occurrences(x.docs))
+    .groupBy("res").agg(F.count(F.lit(1)).alias("n"), F.count("callee_sym").alias("found"), F.sum(F.col("callee_sym") % 1000003).alias("digest"))
+)
+query(
+    "scip_coverage",
+    "SELECT count(*) AS n_sites, count(*) FILTER (WHERE file_id % 2 = 0) AS n_covered, count(*) FILTER (WHERE file_id % 2 <> 0) AS n_missing, "
+    "(SELECT count(*) FROM file WHERE file_id % 2 <> 0 OR file_id NOT IN (SELECT doc_id FROM worded WHERE len(ws) > 0)) AS n_silent_files FROM site",
+)(lambda x: coverage(corpus.call_sites(x.docs), x.facts.file, corpus.occurrences(x.docs)))
+query(
+    "symbol_table",
+    "SELECT sym_id, name, CAST(kind AS INTEGER) AS kind, vis, is_async, is_test, file_id, module, crate_, container, symbol, sig, line FROM sym",
+)(lambda x: x.facts.sym.drop("doc", "end_line"))
+query("call_table", "SELECT call_id, caller, callee, callee_sym, CAST(res AS INTEGER) AS res, qual, is_method, file_id, line FROM call")(lambda x: x.facts.call.drop("col"))
+query("file_table", "SELECT file_id, path, crate_, loc, hash FROM file")(lambda x: x.facts.file.drop("lang"))
