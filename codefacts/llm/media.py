@@ -9,12 +9,14 @@ one similarity transform. That finds crops, rotations, scaled, brightened and ov
 A media column holds encoded images: PNG (8 bit grey, grey with alpha, RGB or RGBA, not
 interlaced) or binary PGM. Defined cases: null, empty or undecodable bytes and images without
 corners are a class of their own; equal bytes are one class at once; a null id takes no part and
-has a null class; rows of one id are one item; other columns don't matter; an empty table gives an
+has a null class; rows of one id are one item, linked
+if any of them is; other columns don't matter; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from .grouping import buckets, degrees, link, salted
 SCALES, CORNERS, RADIUS, BORDER = (1.0, 0.8, 0.64, 0.512), (20, 16, 12, 8), 12, 17
 TESTS, ANGLES = 256, 36
 #: Hamming tables and the bits of a key.
-TABLES, KEY_BITS = 4, 48
+TABLES, KEY_BITS = 3, 48
 #: Bits that matched descriptors may differ in; corners that must agree, and how closely.
 FAR, AGREE, PIXELS = 56, 8, 3.5
 SALT = 512
@@ -224,21 +226,27 @@ def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def features(media: DataFrame, item: str, column: str) -> DataFrame:
-    """(id, places, bits, keys) of each row of a media column."""
+    """(id, digest, places, bits, keys) of each row of a media column, in one pass over it: the
+    images themselves are never shuffled. The digest is null for null and empty bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, bits, keys = [], [], []
+            digests, places, bits, keys = [], [], [], []
             for data in batch.column("data"):
-                img = decode(data.as_py())
+                data = data.as_py()
+                img = decode(data)
                 p, d = describe(img) if img is not None else (np.zeros((0, 4), np.float32), np.zeros((0, TESTS // 8), np.uint8))
+                digests.append(hashlib.sha256(data).digest() if data else None)
                 places.append(p.tobytes())
                 bits.append(d.tobytes())
                 keys.append(table_keys(d))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "places": pa.array(places, pa.binary()), "bits": pa.array(bits, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column("id"), "digest": pa.array(digests, pa.binary()), "places": pa.array(places, pa.binary()),
+                "bits": pa.array(bits, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())),
+            })
 
     rows = media.select(F.col(item).cast("long").alias("id"), F.col(column).alias("data"))
-    return rows.mapInArrow(run, "id long, places binary, bits binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, digest binary, places binary, bits binary, keys array<long>")
 
 
 def _arrays(places: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -263,22 +271,21 @@ def consensus(pairs: DataFrame, found: DataFrame, agree: int) -> DataFrame:
                     n.append(k)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "corners": pa.array(n, pa.int32())})
 
-    return rows.mapInArrow(run, "a long, b long, corners int")
+    return rows.mapInArrow(run, "a long, b long, corners int").dropDuplicates(["a", "b"])
 
 
 def copies(media: DataFrame, item: str = "media_id", column: str = "image", agree: int = AGREE) -> DataFrame:
     """(item, class_id, n_links) of every row: the least id of the images that links connect."""
     keep: list[str] = []
-    rows = media.select(F.col(item).cast("long").alias("id"), F.col(column).alias("data"))
-    named = rows.withColumn("digest", F.when(F.octet_length("data") > 0, F.sha2("data", 256)))
-    ids = written(named.select("id", "digest"), "media", keep)
-    heads = named.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("data").alias("data"))
-    found = written(features(heads, "id", "data"), "features", keep)
-    members = buckets(found.select("id", F.explode("keys").alias("key")).distinct(), keep)
-    once = found.groupBy("id").agg(F.max_by(F.struct("places", "bits"), F.struct("places", "bits")).alias("f")).select("id", "f.places", "f.bits")
-    links, parts = link(members, lambda pairs: consensus(pairs, once, agree), keep)
+    found = written(features(media, item, column), "features", keep)
+    ids = found.select("id", "digest")
+    usable = found.where("id is not null and digest is not null")
+    heads = usable.groupBy("digest").agg(F.min("id").alias("id"))
+    keyed = usable.select("digest", "id", "keys").join(heads, ["digest", "id"]).select("id", F.explode("keys").alias("key"))
+    members = buckets(keyed, keep)
+    links, parts = link(members, lambda pairs: consensus(pairs, found, agree), keep)
     classes = (
-        ids.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("head"))
+        heads.withColumnRenamed("id", "head")
         .join(parts.withColumnRenamed("id", "head"), "head", "left").join(degrees(links).withColumnRenamed("id", "head"), "head", "left")
         .select("digest", F.coalesce("component", "head").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
     )
