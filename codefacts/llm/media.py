@@ -34,7 +34,7 @@ from .grouping import buckets, degrees, link, salted
 SCALES, CORNERS, RADIUS, BORDER = (1.0, 0.8, 0.64, 0.512), (20, 16, 12, 8), 12, 17
 TESTS, ANGLES = 256, 36
 #: Hamming tables and the bits of a key.
-TABLES, KEY_BITS = 3, 48
+TABLES, KEY_BITS = 2, 44
 #: Bits that matched descriptors may differ in; corners that must agree, and how closely.
 FAR, AGREE, PIXELS = 56, 8, 3.5
 SALT = 512
@@ -332,6 +332,9 @@ def rendered(vectors: DataFrame, step: int = 8) -> DataFrame:
     rows = own.withColumns({"kind": F.when(turn.between(1, 4), (turn - 1).cast("int")), "base": F.when(turn.between(1, 4), F.col("media_id") - turn)})
     rows = rows.join(first, "base", "left").select("media_id", F.when(F.col("e").isNull(), -1).otherwise(F.coalesce("kind", F.lit(-1))).alias("kind"), F.coalesce("e", "embedding").alias("e"))
 
+    # Rows are small and their work is not, so they are dealt over all cores by number, not by bytes.
+    rows = rows.repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism, "media_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             images = []
