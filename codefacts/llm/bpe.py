@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -26,8 +27,10 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Entries of one generation of the memo, and the longest pre-token that it takes, in characters.
-MEMO, MEMO_CHARS = 400_000, 32
+MEMO, MEMO_CHARS = 250_000, 32
 
 
 class RankQueue:
@@ -54,9 +57,12 @@ class BytePairs:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = {r: b for b, r in self.ranks.items()}
         self.queue = RankQueue(max(self.pieces) + 1)
+        #: Whether an id takes two bytes; the memo keeps ids packed.
+        self.narrow = max(self.pieces) < 1 << 16
+        self.names = {r: str(r) for r in self.pieces}
         self.find = regex.compile(pattern).findall
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: always the pair of least rank, the leftmost first."""
@@ -125,29 +131,26 @@ class BytePairs:
             i = nxt[i]
         return tuple(ids)
 
-    def _missing(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def _missing(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            ids = self.merge(piece.encode())
-            found = ids, ",".join(map(str, ids))
+            found = array("H" if self.narrow else "I", self.merge(piece.encode())).tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self.young) >= MEMO:
                 self.old, self.young = self.young, {}
             self.young[piece] = found
         return found
 
-    def pieces_of(self, text: str | None) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, the same in decimal) of each pre-token."""
+    def encode(self, text: str | None) -> list[int]:
         get, missing = self.young.get, self._missing
-        out = []
+        parts = []
         for piece in self.find(text or ""):
             if (found := get(piece)) is None:
                 found, get = missing(piece), self.young.get
-            out.append(found)
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _ in self.pieces_of(text) for i in ids]
+            parts.append(found)
+        ids = array("H" if self.narrow else "I")
+        ids.frombytes(b"".join(parts))
+        return ids.tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -166,7 +169,7 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
         for part in texts:
             yield pd.Series([own.encode(t) for t in part], dtype=object)
 
-    return F.pandas_udf(ids, "array<int>")(text)
+    return F.pandas_udf(tidied(ids), "array<int>")(text)
 
 
 def decode(ids: Column | str, path: str, pattern: str) -> Column:
@@ -177,7 +180,7 @@ def decode(ids: Column | str, path: str, pattern: str) -> Column:
         for part in parts:
             yield pd.Series([b"" if x is None else own.decode(x) for x in part], dtype=object)
 
-    return F.pandas_udf(data, "binary")(ids)
+    return F.pandas_udf(tidied(data), "binary")(ids)
 
 
 def digests(text: Column | str, path: str, pattern: str) -> Column:
@@ -189,10 +192,9 @@ def digests(text: Column | str, path: str, pattern: str) -> Column:
         for part in texts:
             rows = []
             for t in part:
-                found = own.pieces_of(t)
-                said = ",".join([x[1] for x in found]).encode()
-                ids = [i for x in found for i in x[0]]
+                ids = own.encode(t)
+                said = ",".join(map(own.names.__getitem__, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return F.pandas_udf(both, "n_tokens long, ids_sha256 string, decoded_sha256 string")(text)
+    return F.pandas_udf(tidied(both), "n_tokens long, ids_sha256 string, decoded_sha256 string")(text)

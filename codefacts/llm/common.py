@@ -2,55 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import get_type_hints
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CHECKPOINT = "spark.checkpoint.dir"
+from ..store import drop, fresh_path, shared_dir, written
 
+__all__ = ["drop", "fresh_path", "shared_dir", "table", "tidied", "unit", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, local mode) the
-    first call makes a temporary folder and keeps it in the session's own setting.
-    """
-    there = spark.conf.get(_CHECKPOINT, None)
-    if not there:
-        there = spark.conf.get("codefacts.shared.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="codefacts-")
-        spark.conf.set("codefacts.shared.dir", there)
-        spark.sparkContext.setCheckpointDir(there)
-    return there.rstrip("/")
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over a partition's batches; when it ends, freed memory goes back to the
+    system. Python workers live on between tasks, and what their allocators keep adds up."""
 
+    @wraps(run)
+    def own(parts: Iterator) -> Iterator:
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Unlike a cache, the files outlive lost executors. ``keep`` collects the paths, for ``drop``.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that ``written`` made and nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-    paths.clear()
+    own.__annotations__ = get_type_hints(run)
+    return own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

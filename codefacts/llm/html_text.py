@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Lines of a window, and the characters in it at which a region begins.
 WINDOW, SURGE = 3, 60
 
@@ -167,4 +169,4 @@ def extract(page: Column | str) -> Column:
         for part in parts:
             yield pd.Series([main_text(p) for p in part], dtype=object)
 
-    return F.pandas_udf(run, "string")(page)
+    return F.pandas_udf(tidied(run), "string")(page)

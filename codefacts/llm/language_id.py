@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import tidied, unit
 
 #: Symbols of a segment.
 SEGMENT = 512
@@ -241,14 +241,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             at, size = 0, 0
             for i, t in enumerate(texts):  # some MB of text at a time
                 size += len(t or "")
-                if size > 2_000_000 or i + 1 == len(texts):
+                if size > 1_000_000 or i + 1 == len(texts):
                     a, b = predict(shared.value, texts[at : i + 1])
                     names += a
                     scores.append(b)
                     at, size = i + 1, 0
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
 
-    got = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
+    # Marked so that a filter on the prediction does not run the model a second time.
+    got = F.pandas_udf(tidied(run), "lang_pred string, score double").asNondeterministic()(F.col("text"))
     return docs.withColumn("__got", got).select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "__got.lang_pred", "__got.score"
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import tidied, written
 from .grouping import buckets, degrees, link, salted
 
 #: Scales, the corners kept on each, the radius of a patch and the border that corners keep.
@@ -246,7 +246,7 @@ def features(media: DataFrame, item: str, column: str) -> DataFrame:
             })
 
     rows = media.select(F.col(item).cast("long").alias("id"), F.col(column).alias("data"))
-    return rows.mapInArrow(run, "id long, digest binary, places binary, bits binary, keys array<long>")
+    return rows.mapInArrow(tidied(run), "id long, digest binary, places binary, bits binary, keys array<long>")
 
 
 def _arrays(places: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def consensus(pairs: DataFrame, found: DataFrame, agree: int) -> DataFrame:
                     n.append(k)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "corners": pa.array(n, pa.int32())})
 
-    return rows.mapInArrow(run, "a long, b long, corners int").dropDuplicates(["a", "b"])
+    return rows.mapInArrow(tidied(run), "a long, b long, corners int").dropDuplicates(["a", "b"])
 
 
 def copies(media: DataFrame, item: str = "media_id", column: str = "image", agree: int = AGREE) -> DataFrame:
@@ -343,4 +343,4 @@ def rendered(vectors: DataFrame, step: int = 8) -> DataFrame:
                 images.append(None if img is None else png(img if kind < 0 else edited(img, kind)))
             yield pa.RecordBatch.from_pydict({"media_id": batch.column("media_id"), "image": pa.array(images, pa.binary())})
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("media_id", T.LongType()), T.StructField("image", T.BinaryType())]))
+    return rows.mapInArrow(tidied(run), T.StructType([T.StructField("media_id", T.LongType()), T.StructField("image", T.BinaryType())]))

@@ -28,6 +28,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Fixed value: what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -181,7 +183,7 @@ def _fill(rows: DataFrame) -> DataFrame:
     kind = cols.schema["__id"].dataType.simpleString()
     return (
         cols.repartition("__number").sortWithinPartitions("__number", "__key", "__id", "__hash")
-        .mapInPandas(run, f"__id {kind}, __number long, __hash long, __copy int, __shard int")
+        .mapInPandas(tidied(run), f"__id {kind}, __number long, __hash long, __copy int, __shard int")
     )
 
 

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import tidied, written
 from .grouping import buckets, degrees, link, salted
 
 SHINGLE, SIMILARITY = 5, 0.8
-COUNTERS, BLOCK = 1 << 21, 1 << 15
+COUNTERS, BLOCK, GROUPS = 1 << 21, 1 << 15, 32
 #: Document frequencies under this share of the documents are taken as equal.
 FLOOR = 1e-3
 #: How much a rare shingle weighs more than one in all documents: 1 + DAMPING at most, to 1.
@@ -45,8 +45,8 @@ BINS, DRAWS, BANDS, ROWS = 32, 4, 25, 5
 #: Documents that one task compares with one copy of a representative.
 SALT = 256
 #: Characters of text that one array operation takes.
-CHUNK = 2_000_000
-_MEMO = 400_000
+CHUNK = 1_000_000
+_MEMO = 100_000
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -209,8 +209,8 @@ def _pack(block: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    if data[:1] == b"d":
-        return np.frombuffer(data, dtype=np.int32, offset=1).astype(np.int64)
+    if data[:1] in b"dq":
+        return np.frombuffer(data, dtype=np.int32 if data[:1] == b"d" else np.int64, offset=1).astype(np.int64)
     n, out = (len(data) - 1) // 6, np.zeros(BLOCK, dtype=np.int64)
     out[np.frombuffer(data, np.uint16, n, 1)] = np.frombuffer(data, np.int32, n, 1 + 2 * n)
     return out
@@ -230,25 +230,27 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         blocks = [counts[i : i + BLOCK] for i in range(0, COUNTERS, BLOCK)]
         used = [i for i, b in enumerate(blocks) if b.any()]
         yield pa.RecordBatch.from_pydict(
-            {"block": pa.array([-1, *used], pa.int32()), "counts": pa.array([np.int64(n).tobytes(), *[_pack(blocks[i]) for i in used]], pa.binary())}
+            {"block": pa.array([-1, *used], pa.int32()), "counts": pa.array([b"q" + np.int64(n).tobytes(), *[_pack(blocks[i]) for i in used]], pa.binary())}
         )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(data, dtype=np.int64) if i < 0 else _unpack(data)
+                x = _unpack(data)
                 sums[i] = sums[i] + x if i in sums else x
         yield pa.RecordBatch.from_pydict(
-            {"block": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())}
+            {"block": pa.array(list(sums), pa.int32()), "counts": pa.array([b"q" + x.tobytes() for x in sums.values()], pa.binary())}
         )
 
     schema = "block int, counts binary"
-    parts = docs.select("text").mapInArrow(local, schema)
-    rows = parts.repartition(16, "block").mapInArrow(add, schema).collect()
-    counts, n = np.zeros(COUNTERS, dtype=np.int64), 0
+    parts = docs.select("text").mapInArrow(tidied(local), schema)
+    # First in GROUPS groups of tasks, then over the groups, so no task reads a block of all tasks.
+    some = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).repartition("block", "g").select("block", "counts").mapInArrow(tidied(add), schema)
+    rows = some.repartition("block").mapInArrow(tidied(add), schema).collect()
+    counts, n = np.zeros(COUNTERS, dtype=np.int64), 0  # the driver's
     for r in rows:
-        x = np.frombuffer(r["counts"], dtype=np.int64)
+        x = _unpack(r["counts"])
         if r["block"] < 0:
             n = int(x[0])
         else:
@@ -276,7 +278,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
@@ -306,7 +308,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
                         sim.append(s)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(sim, pa.float64())})
 
-    return rows.mapInArrow(run, "a long, b long, similarity double")
+    return rows.mapInArrow(tidied(run), "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 8) -> DataFrame:

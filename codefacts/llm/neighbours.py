@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 SHARD, LEAF = 4096, 96
 #: Room for rounding in distances and cosines.
 SLACK, NEAR = 1e-6, 1e-9
@@ -145,7 +147,7 @@ def index(vectors: DataFrame, shard_rows: int = SHARD) -> tuple[DataFrame, DataF
 
     trees = (
         dealt.select("dim", "part", "vec_id", "v").repartition("dim", "part").sortWithinPartitions("dim", "part", "vec_id")
-        .mapInArrow(build, "dim int, part int, tree binary")
+        .mapInArrow(tidied(build), "dim int, part int, tree binary")
     )
     return trees, sizes
 
@@ -187,7 +189,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1
                     q, i, s = zip(*out)
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    near = rows.mapInArrow(run, "query_id long, vec_id long, score double")
+    near = rows.mapInArrow(tidied(run), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -182,7 +182,7 @@ def write(pages: DataFrame, min_revisit: int = 100, keep: list[str] | None = Non
 
     schema = "bundle string, data binary, places array<struct<page_id:long,frame:int,offset:int>>"
     rows = classified(pages, min_revisit)
-    made = written(rows.mapInArrow(run, schema), "warc", keep)
+    made = written(rows.mapInArrow(tidied(run), schema), "warc", keep)
     index = made.select("bundle", F.explode("places").alias("p")).select("p.page_id", "bundle", "p.frame", "p.offset")
     return made.select("bundle", "data"), index
 
@@ -214,7 +214,7 @@ def read(bundles: DataFrame) -> DataFrame:
                         schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]),
                     )
 
-    return bundles.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return bundles.mapInArrow(tidied(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def export(bundles: DataFrame, folder: str) -> DataFrame:
@@ -236,7 +236,7 @@ def export(bundles: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_pydict({"bundle": names, "path": paths, "bytes": pa.array(sizes, pa.int64())})
 
-    return bundles.mapInArrow(run, "bundle string, path string, bytes long")
+    return bundles.mapInArrow(tidied(run), "bundle string, path string, bytes long")
 
 
 def lookup(spark: SparkSession, bundles: DataFrame, index: DataFrame, pages: DataFrame) -> DataFrame:
@@ -248,4 +248,4 @@ def lookup(spark: SparkSession, bundles: DataFrame, index: DataFrame, pages: Dat
             yield pa.RecordBatch.from_pydict({"page_id": [r["page_id"] for r in rows], "record": pa.array([read_record(r["data"], r["frame"], r["offset"])[1] for r in rows], pa.binary())})
 
     wanted = index.join(pages.select("page_id").distinct(), "page_id")
-    return wanted.join(bundles, "bundle").select("page_id", "data", "frame", "offset").mapInArrow(run, "page_id long, record binary")
+    return wanted.join(bundles, "bundle").select("page_id", "data", "frame", "offset").mapInArrow(tidied(run), "page_id long, record binary")
