@@ -8,9 +8,12 @@ resolved caller-callee pairs) is sorted by callee for reverse traversal.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application. Where it is on
+    their path already (PYTHONPATH, or the working directory in local mode) nothing is sent."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (sc.master.startswith("local[") and Path.cwd() == root):
+        return
+    path = f"{tempfile.mkdtemp(prefix='codefacts-')}/codefacts.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "codefacts").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
