@@ -29,8 +29,10 @@ def components(links: DataFrame, keep: list[str]) -> DataFrame:
     in the logarithm of the largest component. A step's hot node is pre-aggregated to its least
     neighbour; nothing is gathered in one place.
     """
+    state = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     edges = written(links.select("a", "b").where("a <> b").distinct(), "links", keep)
-    while True:
+    old = edges.agg(*state).first()
+    while old[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -41,13 +43,12 @@ def components(links: DataFrame, keep: list[str]) -> DataFrame:
             .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         )
         new = written(small, "links", keep)
-        same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        old = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        edges = new
-        if same == old:
+        edges, now = new, new.agg(*state).first()
+        if now == old:
             break
+        old = now
     spark = edges.sparkSession
-    if edges.isEmpty():
+    if not old[0]:
         return spark.createDataFrame([], "id long, component long")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

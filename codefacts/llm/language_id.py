@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied, unit
+from .common import give_back, tidied, unit
 
 #: Symbols of a segment.
 SEGMENT = 512
@@ -224,10 +224,12 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 == 2
 
 
-def learn(docs: DataFrame, train_docs: int = 200, train_symbols: int = 40_000) -> Model:
+def learn(docs: DataFrame, train_docs: int = 200, train_symbols: int = 30_000) -> Model:
     """A model from the labelled rows of ``docs`` that are not held out."""
     usable = docs.where(F.coalesce(~held_out("doc_id"), F.lit(True)))
-    return fit(sample(usable, train_docs, train_symbols), train_symbols)
+    model = fit(sample(usable, train_docs, train_symbols), train_symbols)
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
