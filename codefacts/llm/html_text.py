@@ -120,7 +120,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                         break
             if name in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()
-        if name in _VOID or tag.endswith("/>") and name not in _RAW:
+        if name in _VOID:
             continue
         noise, main = _role(tag)
         dropped, inside = stack[-1][1:] if stack else (False, False)
