@@ -91,8 +91,12 @@ def degrees(links: DataFrame) -> DataFrame:
 
 def salted(pairs: DataFrame, size: int) -> DataFrame:
     """Rows (id, b, salt, kind) that bring both ends of the pairs to where they are compared: kind 0
-    is b itself, once for each salt; kind 1 are its partners, about ``size`` a salt."""
-    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / size).alias("copies"))
-    rows = pairs.join(copies, "b").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("copies")).cast("int"))
+    is b itself, once for each salt; kind 1 are its partners, about ``size`` a salt.
+
+    Only a b of more than ``size`` pairs needs salts, so the counts that the pairs meet are at most
+    one for every ``size`` of them, and a join that keeps the pairs' own partitions will often do."""
+    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / size).alias("copies")).where("copies > 1")
+    salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1)))
+    rows = pairs.join(copies, "b", "left").withColumn("salt", salt.cast("int"))
     members = rows.select(F.col("a").alias("id"), "b", "salt", F.lit(1).alias("kind"))
     return members.unionByName(rows.select(F.col("b").alias("id"), "b", "salt", F.lit(0).alias("kind")).distinct())
