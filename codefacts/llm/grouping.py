@@ -7,12 +7,17 @@ nothing; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
+
+#: Links that a task contracts at a time.
+CHUNK = 1 << 20
 
 
 def buckets(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -22,39 +27,84 @@ def buckets(rows: DataFrame, keep: list[str]) -> DataFrame:
     return written(rows.join(lows, "key"), "members", keep)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) with the same components as the given ones, each node's going to the least of
+    its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, up = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = np.minimum(up[u], up[v]), np.maximum(up[u], up[v])
+        if (x == y).all():
+            break
+        np.minimum.at(up, y, x)
+        while (up[up] != up).any():
+            up = up[up]
+    some = up != np.arange(len(nodes))
+    return nodes[some], nodes[up[some]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what the given ones connect, with a > b: a task replaces each
+    CHUNK of its links by stars, so it holds no more and shuffles nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield starred(held)
+                held, n = [], 0
+        if n:
+            yield starred(held)
+
+    def starred(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b"))
+        a, b = stars(*ends)
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links.select("a", "b").mapInArrow(tidied(run), "a long, b long")
+
+
+def starry(edges: DataFrame) -> bool:
+    """Whether each a of the distinct links (a, b) has one b, which is no a of another."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("ups"), F.lit(0).alias("downs"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+    return ends.groupBy("u").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).where("ups > 1 or ups = 1 and downs = 1").isEmpty()
+
+
 def components(links: DataFrame, keep: list[str]) -> DataFrame:
     """(id, component) of every end of a link (a, b); the component is its least id.
 
-    Large-star and small-star steps in turn until the links no longer change: a number of rounds
-    in the logarithm of the largest component. A step's hot node is pre-aggregated to its least
-    neighbour; nothing is gathered in one place.
+    Each task contracts its own links; then large-star and small-star steps in turn until all
+    links are stars: a number of rounds in the logarithm of the largest component. A step's hot
+    node is pre-aggregated to its least neighbour; nothing is gathered in one place.
     """
-    state = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "links", keep)
-    old = edges.agg(*state).first()
-    while old[0]:
+    edges = written(contracted(links.where("a <> b")).distinct(), "links", keep)
+    while not starry(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        )
-        new = written(small, "links", keep)
-        edges, now = new, new.agg(*state).first()
-        if now == old:
-            break
-        old = now
-    spark = edges.sparkSession
-    if not old[0]:
-        return spark.createDataFrame([], "id long, component long")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        edges = written(small.where("a <> b").distinct(), "links", keep)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
 
 
+def joined(parts: DataFrame, links: DataFrame, keep: list[str]) -> DataFrame:
+    """The components (id, component) after more links (a, b): only the components that these
+    connect are worked on, and their ids renamed."""
+    of = links.select("a", "b")
+    for end in ("a", "b"):
+        named = parts.select(F.col("id").alias(end), F.col("component").alias("c"))
+        of = of.join(named, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    more = written(components(of, keep), "joined", keep)
+    renamed = parts.join(more.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left")
+    return written(renamed.select("id", F.coalesce("c", "component").alias("component")).unionByName(more.join(parts, "id", "left_anti")), "components", keep)
+
+
 def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], keep: list[str], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """The links (a, b, ...) that ``check`` leaves of pairs (a, b), and the components they make.
 
@@ -79,7 +129,7 @@ def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], keep: list
         if found.isEmpty():
             break
         links = links.unionByName(found)
-        parts = written(components(links, keep), "components", keep)
+        parts = joined(parts, found, keep)
     return links, parts
 
 
