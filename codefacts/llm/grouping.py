@@ -18,6 +18,8 @@ from .common import tidied, written
 
 #: Links that a task contracts at a time.
 CHUNK = 1 << 20
+#: Members of a bucket that a tile holds: a task compares one tile with another.
+TILE = 128
 
 
 def buckets(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -105,13 +107,78 @@ def joined(parts: DataFrame, links: DataFrame, keep: list[str]) -> DataFrame:
     return written(renamed.select("id", F.coalesce("c", "component").alias("component")).unionByName(more.join(parts, "id", "left_anti")), "components", keep)
 
 
-def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], keep: list[str], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def mixed(members: DataFrame, parts: DataFrame, keep: list[str]) -> DataFrame:
+    """(key, id, component, main, mains, others) of the members of buckets that hold several
+    components; main is the bucket's largest one, with the numbers of members in it and not."""
+    of = members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("mains"), F.sum("n").alias("n")).where("n > mains")
+    return written(of.join(several.select("key", "main", "mains", (F.col("n") - F.col("mains")).alias("others")), "key"), "mixed", keep)
+
+
+def crossing(rows: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs (a, b), a > b, of the members (``mixed``) of a bucket that are in different
+    components, less those that ``cells`` (id, cells), if there, exclude.
+
+    The cells of an id are its weights summed by hash. The sum of the lesser of two ids' cells is no
+    less than their overlap, so a pair whose cells stay under ``least`` can't reach it. A bucket is
+    cut into tiles; members of its main component, which may be most of it, only meet the others.
+    """
+    others, mains = (F.ceil(F.col(c) / TILE).cast("int") for c in ("others", "mains"))
+    own, h = F.col("component") == F.col("main"), F.xxhash64("id", "key")
+    tile = F.when(own, others + F.pmod(h, mains)).otherwise(F.pmod(h, others)).cast("int")
+    meets = F.sequence(F.lit(0), F.when(own, others).otherwise(others + mains) - 1)
+    cells = [c for c in rows.columns if c == "cells"]
+    rows = rows.select("key", "id", "component", *cells, tile.alias("tile"), F.explode(meets).alias("other"))
+    rows = rows.select("key", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "id", "component", *cells)
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def pairs(held: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y, tile, ids, parts = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("x", "y", "tile", "id", "component"))
+        w = np.stack([np.frombuffer(c.as_py(), np.float32) for b in held for c in b.column("cells")]) if cells else None
+        total = w.sum(axis=1, dtype=np.float64) if cells else None
+        for i in np.flatnonzero(tile == x).tolist():
+            j = np.flatnonzero((parts != parts[i]) & ((ids < ids[i]) if x[0] == y[0] else (tile == y)))
+            if w is not None and len(j):
+                both = total[i] + total[j]
+                j = j[np.minimum(w[i], w[j]).sum(axis=1, dtype=np.float64) * (1 + least) >= least * both * (1 - 1e-4)]  # less what rounding may take
+            yield np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def out() -> pa.RecordBatch:
+            ends = [np.concatenate(z) for z in zip(*pairs(held))] or [np.zeros(0, np.int64)] * 2
+            return pa.RecordBatch.from_pydict({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+        for batch in batches:
+            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j:
+                    if held and tuple(k[:, i].tolist()) != at:
+                        yield out()
+                        held = []
+                    held.append(batch.slice(i, j - i))
+                    at = tuple(k[:, i].tolist())
+        if held:
+            yield out()
+
+    return rows.mapInArrow(tidied(run), "a long, b long").distinct()
+
+
+def link(
+    members: DataFrame, check: Callable[[DataFrame], DataFrame], keep: list[str], rounds: int = 8,
+    cells: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0,
+) -> tuple[DataFrame, DataFrame]:
     """The links (a, b, ...) that ``check`` leaves of pairs (a, b), and the components they make.
 
     First each member of a bucket is paired with its least. Then, as long as that links something
     and for ``rounds`` rounds at most, a random member of each component in a bucket is paired with
-    a random one of another, so a pair that its bucket's least member kept apart gets a chance in
-    each bucket that it shares.
+    a random one of another: that joins at little cost what would else make many pairs. Last, all
+    pairs that a bucket still holds in different components are checked, so that any two members of
+    a bucket are in one component, or were checked, or can't be similar by the ``cells`` (id, cells)
+    of the ids given (see ``crossing``).
     """
     pairs = written(members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs", keep)
     links = written(check(pairs), "verified", keep)
@@ -130,7 +197,16 @@ def link(members: DataFrame, check: Callable[[DataFrame], DataFrame], keep: list
             break
         links = links.unionByName(found)
         parts = joined(parts, found, keep)
-    return links, parts
+    rows = mixed(members, parts, keep)
+    if rows.isEmpty():
+        return links, parts
+    if cells is not None:
+        rows = rows.join(cells(rows.select("id").distinct()), "id")
+    more = written(crossing(rows, least).join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs", keep)
+    found = written(check(more), "verified", keep)
+    if found.isEmpty():
+        return links, parts
+    return links.unionByName(found), joined(parts, found, keep)
 
 
 def degrees(links: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@
 3. Equal word sequences are one class at once and go on as one representative. Documents that
    share a band are compared with the least document of the band's bucket, never all with all; the
    weighted Jaccard similarity of their whole texts decides. Buckets that still hold more than one
-   component are tried again with other representatives until that links nothing more.
+   component are tried again with other representatives until that links nothing more; then all
+   pairs that a bucket holds in different components are compared, but for those that sums of
+   weights by hash show to be under the least similarity.
 4. Links make components; the class of a document is the least id of its component.
 
 Words are what white space separates, lower-cased. Defined cases: a text of one to four words is
@@ -42,6 +44,8 @@ FLOOR = 1e-3
 #: How much a rare shingle weighs more than one in all documents: 1 + DAMPING at most, to 1.
 DAMPING = 0.25
 BINS, DRAWS, BANDS, ROWS = 32, 4, 25, 5
+#: Cells that a document's weights are summed in, to exclude pairs without their texts.
+CELLS = 128
 #: Documents that one task compares with one copy of a representative.
 SALT = 256
 #: Characters of text that one array operation takes.
@@ -311,6 +315,20 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     return rows.mapInArrow(tidied(run), "a long, b long, similarity double")
 
 
+def cells(texts: DataFrame, idf) -> DataFrame:
+    """(id, cells): the weights of each text, summed by shingle hash in CELLS cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in _chunks(batch):
+                h, tf, counts, _ = shingles(found)
+                at = np.repeat(np.arange(len(counts)), counts) * CELLS + ((h >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int64)
+                sums = np.bincount(at, weights=weights(h, tf, idf.value), minlength=len(counts) * CELLS).astype(np.float32).reshape(-1, CELLS)
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "cells": pa.array([x.tobytes() for x in sums], pa.binary())})
+
+    return texts.mapInArrow(tidied(run), "id long, cells binary")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 8) -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the least id of the documents that links of
     similarity ``least`` or more connect, and the number of links found to other texts."""
@@ -332,7 +350,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 8)
         "texts", keep,
     )
 
-    links, parts = link(members, lambda pairs: verified(pairs, texts, idf, least), keep, rounds)
+    sums = lambda some: written(cells(texts.join(some, "id", "left_semi"), idf), "cells", keep)
+    links, parts = link(members, lambda pairs: verified(pairs, texts, idf, least), keep, rounds, sums, least)
     degree = degrees(links)
     classes = (
         heads.select("digest", "id").join(parts, "id", "left").join(degree, "id", "left")

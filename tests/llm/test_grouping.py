@@ -62,3 +62,29 @@ def test_salted(spark):
     heads = [(r.b, r.salt) for r in rows if r.kind == 0]
     assert len(heads) == len(set(heads)) and sum(b == 50 for b, _ in heads) == 1 and 1 < sum(b == 1 for b, _ in heads) <= 5
     assert sorted((r.id, r.b) for r in rows if r.kind) == sorted(pairs) and {(r.b, r.salt) for r in rows if r.kind} == set(heads)
+
+
+def test_link_whole_buckets(spark):
+    """Pairs that neither the bucket's least member nor a pivot meets are found, over many tiles."""
+    ids = list(range(2 * grouping.TILE)) + list(range(1000, 1300))
+    rows = spark.createDataFrame([(key, i) for key in (5, 6) for i in ids] + [(7, 3), (7, 8)], "key long, id long")
+    whole = lambda pairs: pairs.where("b = 0 and a >= 1000 or a < 1000 and a = b + 1 and b % 2 = 0")
+    links, parts = grouping.link(grouping.buckets(rows, []), whole, [])
+    want = [(i + 1, i) for i in range(0, 2 * grouping.TILE, 2)] + [(i, 0) for i in range(1000, 1300)]
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted(want) and found(parts) == brute(want)
+
+
+def test_cells_exclude_no_similar_pair(spark):
+    """A pair that the cells exclude has too little in common."""
+    rng = random.Random(5)
+    weights = {i: {rng.randrange(60): rng.choice([0.5, 1.0, 3.0]) for _ in range(30)} for i in range(40)}
+    for i in range(0, 40, 2):
+        weights[i + 1] = {**weights[i], rng.randrange(60): 1.0}
+    def summed(w):
+        return np.bincount([k % 16 for k in w], weights=list(w.values()), minlength=16).astype(np.float32).tobytes()
+    rows = [(1, i, i, 0, 1, 39, bytearray(summed(w))) for i, w in weights.items()]
+    frame_ = spark.createDataFrame(rows, "key long, id long, component long, main long, mains long, others long, cells binary")
+    got = {(r.a, r.b) for r in grouping.crossing(frame_, 0.8).collect()}
+    sim = lambda x, y: sum(min(x[k], y[k]) for k in x.keys() & y) / sum(max(x.get(k, 0), y.get(k, 0)) for k in x.keys() | y)
+    near = {(a, b) for a in weights for b in weights if b < a and sim(weights[a], weights[b]) >= 0.8}
+    assert len(near) >= 15 and near <= got and len(got) < 40 * 39 / 2
