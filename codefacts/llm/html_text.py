@@ -6,9 +6,12 @@ nothing the region ends, and the text between is kept, also its short lines.
 
 What can't be the article has no length and no text: elements that are boilerplate by tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, comments), scripts, styles,
-markup comments. If a page marks its article (``article``, ``main``, an article role or item
-property), lines outside have none either and any line inside counts as ``SURGE`` characters, so
-that surge and dive are the article's ends; links make up at most half of a kept line elsewhere.
+markup comments. If a page marks its article (``article``, ``main``, a main role, an item property
+or a whole class or id, on an element that isn't boilerplate), lines outside have none either and
+any line inside counts as ``SURGE`` characters, so that surge and dive are the article's ends; links
+make up at most half of a kept line elsewhere. If what is marked has fewer than ``SURGE`` characters
+or is mostly links, and the lines of the page as if unmarked give more text than it has outside
+links, they are taken.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; unclosed and
 misnested elements end with their parent; unknown character references stay as they are; rows are
@@ -47,21 +50,25 @@ _NOISE = re.compile(
     r"masthead|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
     r"sidebar|site-?header|skip-?link|social|sponsor\w*|subscribe|tags|toolbar|widget\w*|complementary|contentinfo|search)(?=$|[\s_-])"
 )
-_MAIN = re.compile(r"(?:^|[\s_-])(?:main|article|articlebody|article-?body|post-?body|entry-?content|post-?content|main-?content)(?=$|[\s_-])")
+# Noise at the start of a word of class: an article can be "comment-body", but "has-comments" too.
+_NOISE_FIRST = re.compile(_NOISE.pattern.replace(r"[\s_-])(?:", r"\s)(?:", 1))
+_MAIN = frozenset("main article articlebody article-body post-body postbody entry-content post-content main-content maincontent".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def _role(tag: str) -> tuple[bool, bool]:
-    """Whether an element is noise, or marks the article, by its attributes."""
+def _role(name: str, tag: str) -> tuple[bool, bool]:
+    """Whether an element is noise, or marks the article, by its name and attributes."""
     if "=" not in tag and " hidden" not in tag:
-        return False, False
+        return False, name in ("article", "main")
     values = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(tag)}
     said = " ".join(values.get(k, "") for k in ("class", "id", "role"))
-    main = bool(_MAIN.search(" ".join((said, values.get("itemprop", "")))))
-    return bool(_NOISE.search(said)) or bool(_HIDDEN.search(tag)), main
+    sure = name == "main" or "main" in values.get("role", "").split() or "articlebody" in values.get("itemprop", "").split()
+    main = sure or name == "article" or not _MAIN.isdisjoint(x.replace("_", "-") for x in said.split())
+    noise = not sure and bool((_NOISE_FIRST if name == "article" else _NOISE).search(said))
+    return noise or bool(_HIDDEN.search(tag)), main
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
@@ -122,15 +129,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 stack.pop()
         if name in _VOID:
             continue
-        noise, main = _role(tag)
+        noise, main = _role(name, tag)
         dropped, inside = stack[-1][1:] if stack else (False, False)
-        main = main or name in ("article", "main")
         header = name == "header" and not inside
-        if not main or inside:
-            dropped = dropped or name in _DROPPED or noise or header
+        dropped = dropped or name in _DROPPED or noise or header
         if name in ("html", "body"):
             dropped = False
-        if main and not dropped:
+        if main and not dropped and name not in ("html", "body"):
             marked = inside = True
         if name in _RAW and name not in ("noscript", "select", "option", "datalist", "svg", "math", "template"):
             close = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -142,13 +147,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return out, marked
 
 
-def main_text(page: str | None) -> str:
-    """The article: the lines between each surge and the next dive, joined by two line breaks."""
-    lines, marked = lines_of(page or "")
-    if marked:
-        size = [max(SURGE, len(t)) if inside else 0 for t, _, inside in lines]
-    else:
-        size = [len(t) if 2 * linked <= len(t) else 0 for t, linked, _ in lines]
+def regions(lines: list[tuple[str, int, bool]], size: list[int]) -> list[str]:
+    """The lines between each surge and the next dive."""
     kept: list[str] = []
     n, k = len(lines), 0
     while k < n:
@@ -159,6 +159,20 @@ def main_text(page: str | None) -> str:
                 k += 1
         else:
             k += 1
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """The article: the lines between each surge and the next dive, joined by two line breaks."""
+    lines, marked = lines_of(page or "")
+    kept: list[str] = []
+    if marked:
+        kept = regions(lines, [max(SURGE, len(t)) if inside else 0 for t, _, inside in lines])
+        whole, own = (sum(len(t) - k * linked for t, linked, inside in lines if inside) for k in (0, 1))
+    if not marked or own < SURGE or 2 * own < whole:
+        plain = regions(lines, [len(t) if 2 * linked <= len(t) else 0 for t, linked, _ in lines])
+        if not marked or sum(map(len, plain)) > own:
+            kept = plain
     return "\n\n".join(kept)
 
 

@@ -193,3 +193,15 @@ def test_html():
     plain = "<body><ul><li><a href=/>a</a><li><a href=/>b</a></ul><p>" + "Long text of an article. " * 9 + "</p><p>End.</p><ul><li><a href=/>next page</a></ul></body>"
     assert html_text.main_text(plain) == ("Long text of an article. " * 9).strip() + "\n\nEnd."
     assert [html_text.main_text(x) for x in (None, "", "<p></p>", "<!-- x", "<")] == [""] * 5
+
+
+def test_html_false_marks():
+    """Menus named after the main part, comments and mere links don't take the article's place."""
+    text = "Long text of an article. " * 9
+    want = text.strip()
+    menu = "<a href=/>Home page</a><a href=/>All the products that we have</a><a href=/>Contact and company</a>"
+    for mark in ("nav class=main-nav", "nav id=main", "div class=main-menu", "ul class=main-navigation", "div class=article-list", "div class=main"):
+        name = mark.split()[0]
+        assert html_text.main_text(f"<body><{mark}>{menu}</{name}><div id=content><p>{text}</p></div>") == want, mark
+    assert html_text.main_text(f"<body><nav class=main-nav>{menu}</nav><article><p>{text}</p></article><article class=comment><p>I, a reader, say: {text}</p></article>") == want
+    assert html_text.main_text(f"<main class=no-sidebar><article class='post has-comments'><p>{text}</p></article></main>") == want
