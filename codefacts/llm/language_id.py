@@ -11,7 +11,8 @@ many lanes of one array operation; all segments of the whole text count.
 
 The automata come from a bounded sample of the labelled rows: ``train_docs`` rows per language and
 ``train_symbols`` symbols of them at most, whatever the size of the input. Everything else covers
-all rows.
+all rows. Every letter of the labelled text has a code: the most frequent ones have a column each in
+a table of moves, the others' moves, which are few a state, are looked up.
 
 Defined cases: a null text, one without letters, or a model without languages gives ``und`` and
 score 0; a tie goes to the language first in code point order; letters that no language knows are
@@ -35,18 +36,25 @@ from .common import give_back, tidied, unit
 SEGMENT = 512
 UNDETERMINED = "und"
 _OTHER, _SPACE = 1, 0
+#: Code points, and bits that hold any code.
+_POINTS, _CODE_BITS = 0x110000, 21
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: Code of each letter below U+10000: 0 no letter, 1 a letter that no automaton knows.
+    #: Code of each code point: 0 no letter, 1 a letter that no automaton knows.
     codes: np.ndarray
     #: Row starts of the automata's states in ``moves``, plus the code, give the next row start;
     #: the sign bit marks that a phrase begins.
     moves: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
+    #: Codes from here on have no column in ``moves`` but, if a state moves by them, its row start
+    #: and the code in ``rare_keys``, sorted, and what ``moves`` would have in ``rare_moves``.
+    width: int
+    rare_keys: np.ndarray
+    rare_moves: np.ndarray
 
 
 def symbols(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +62,7 @@ def symbols(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     parts = []
     for t in texts:
         u = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        c = codes[np.minimum(u, 0xFFFF)]
+        c = codes[u]
         keep = np.ones(len(c), dtype=bool)
         keep[1:] = (c[1:] != _SPACE) | (c[:-1] != _SPACE)
         parts.append(c[keep])
@@ -100,24 +108,17 @@ def own_lines(part: list[str], texts: dict[str, list[str]]) -> list[str]:
 
 
 def fit(texts: dict[str, list[str]], train_symbols: int, alphabet: int = 126) -> Model:
-    """A model of labelled texts; ``alphabet`` letters at most, the most frequent ones, get codes."""
-    letters = np.zeros(0x10000, dtype=np.int32)
-    for i in range(0x10000):
-        if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
-            letters[i] = _OTHER
-    letters[0xFFFF] = _OTHER  # stands for all beyond
-    seen = np.zeros(0x10000, dtype=np.int64)
+    """A model of labelled texts; ``alphabet`` letters at most, the most frequent ones, get columns."""
+    codes = np.fromiter(map(str.isalpha, map(chr, range(_POINTS))), dtype=bool, count=_POINTS).astype(np.int32)  # _OTHER
+    count: Counter[str] = Counter()
     for part in texts.values():
         for t in part:
-            u = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            seen += np.bincount(np.minimum(u, 0xFFFF), minlength=0x10000)
-    seen[letters == 0] = 0
-    seen[0xFFFF] = 0
-    common = [i for i in np.argsort(-seen, kind="stable")[:alphabet].tolist() if seen[i]]
-    codes = letters.copy()
-    codes[common] = np.arange(2, 2 + len(common))
-    width = 2 + len(common)
+            count.update(t.lower())
+    seen = [i for _, i in sorted((-n, ord(c)) for c, n in count.items() if c.isalpha())]
+    codes[seen] = np.arange(2, 2 + len(seen))
+    width = 2 + min(alphabet, len(seen))
     languages, tables, roots, bits, base = [], [], [], [], 0
+    rare: list[tuple[int, int]] = []
     texts = {name: own_lines(part, texts) for name, part in texts.items()}
     for name in sorted(texts):
         seq, _ = symbols(texts[name], codes)
@@ -128,13 +129,18 @@ def fit(texts: dict[str, list[str]], train_symbols: int, alphabet: int = 126) ->
         rows = np.full((len(table), width), base, dtype=np.int64)  # no match: back to the root
         root = rows[0]
         for c, to in table[0].items():
-            root[c] = base + to * width
+            if c < width:
+                root[c] = base + to * width
+            else:
+                rare.append((base << _CODE_BITS | c, base + to * width | 1 << 31))
         root[_OTHER] = base
         rows[:] = root
         rows |= 1 << 31
         for s, own in enumerate(table):
             if s and own:
-                rows[s, list(own)] = [base + to * width for to in own.values()]
+                few = {c: to for c, to in own.items() if c < width}
+                rows[s, list(few)] = [base + to * width for to in few.values()]
+                rare += [((base + s * width) << _CODE_BITS | c, base + to * width) for c, to in own.items() if c >= width]
         rows[:, _OTHER] = base | 1 << 31
         tables.append(rows.astype(np.uint32).ravel())
         languages.append(name)
@@ -144,7 +150,23 @@ def fit(texts: dict[str, list[str]], train_symbols: int, alphabet: int = 126) ->
     if base >= 1 << 31:
         raise ValueError("the model is too large; lower train_symbols")
     moves = np.concatenate(tables) if tables else np.zeros(0, np.uint32)
-    return Model(languages, codes.astype(np.uint8 if width < 256 else np.int32), moves, np.array(roots, np.uint32), np.array(bits))
+    keys, to = (np.array([x[k] for x in sorted(rare)], dtype) for k, dtype in ((0, np.int64), (1, np.uint32)))
+    small = np.uint8 if len(seen) < 254 else np.uint16 if len(seen) < 65534 else np.int32
+    return Model(languages, codes.astype(small), moves, np.array(roots, np.uint32), np.array(bits), width, keys, to)
+
+
+def rare_moves(model: Model, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """What ``moves`` would have for letters without a column: a state's own move, or else its
+    language's first state's, or else none (row by language)."""
+    base = np.broadcast_to(model.roots[:, None], state.shape)
+    got = base | np.uint32(1 << 31)
+    if not len(model.rare_keys):
+        return got
+    for at in (base, state):
+        key = at.astype(np.int64) << _CODE_BITS | code.astype(np.int64)
+        k = np.minimum(np.searchsorted(model.rare_keys, key), len(model.rare_keys) - 1)
+        got = np.where(model.rare_keys[k] == key, model.rare_moves[k], got)
+    return got
 
 
 def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +190,10 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
         if not n:
             break
         code = seq[start[:n] + k].astype(np.uint32)
-        got = model.moves[state[:, :n] + code]
+        rare = np.flatnonzero(code >= model.width)
+        got = model.moves[state[:, :n] + np.where(code < model.width, code, np.uint32(_OTHER))]
+        if len(rare):
+            got[:, rare] = rare_moves(model, state[:, rare], code[rare])
         found[:, :n] += got >> np.uint32(31)
         state[:, :n] = got & low
     total = np.zeros((len(texts), len(model.languages)))

@@ -205,3 +205,18 @@ def test_html_false_marks():
         assert html_text.main_text(f"<body><{mark}>{menu}</{name}><div id=content><p>{text}</p></div>") == want, mark
     assert html_text.main_text(f"<body><nav class=main-nav>{menu}</nav><article><p>{text}</p></article><article class=comment><p>I, a reader, say: {text}</p></article>") == want
     assert html_text.main_text(f"<main class=no-sidebar><article class='post has-comments'><p>{text}</p></article></main>") == want
+
+
+def test_language_wide_alphabets():
+    """Letters beyond the most frequent ones count as the others do; emoji are no letters."""
+    rng = random.Random(6)
+    letters = {"ko": range(0xAC00, 0xAC00 + 300), "zh": range(0x4E00, 0x4E00 + 300), "am": range(0x1200, 0x1230), "got": range(0x10330, 0x10340), "la": range(97, 123)}
+    words_ = {n: ["".join(chr(rng.choice(r)) for _ in range(3)) for _ in range(60)] for n, r in letters.items()}
+    words_["zh2"] = ["".join(rng.sample("".join(words_["zh"]), 3)) for _ in range(60)]
+    some = lambda n, k: " ".join(rng.choices(words_[n], k=k))
+    train = {n: [some(n, 4000 if n == "la" else 300)] for n in words_}
+    small, whole = (language_id.fit(train, 50_000, **x) for x in ({"alphabet": 26}, {"alphabet": 5000}))
+    texts = [some(n, 40) for n in sorted(words_)] + [some("ko", 300) + some("zh", 5)]
+    assert language_id.predict(small, texts)[0] == [*sorted(words_), "ko"]
+    assert small.width < whole.width and language_id.phrases(small, texts)[0].tolist() == language_id.phrases(whole, texts)[0].tolist()
+    assert language_id.predict(language_id.fit(train, 50_000), ["\U0001F600\U0001F680", some("got", 3)])[0] == ["und", "got"]
