@@ -20,6 +20,8 @@ from .common import tidied, written
 CHUNK = 1 << 20
 #: Members of a bucket that a tile holds: a task compares one tile with another.
 TILE = 128
+#: Parts that the pairs of one id are dealt over.
+SPREAD = 64
 
 
 def buckets(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -168,26 +170,38 @@ def crossing(rows: DataFrame, least: float) -> DataFrame:
 
 
 def link(
-    members: DataFrame, check: Callable[[DataFrame], DataFrame], keep: list[str], rounds: int = 8,
-    cells: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0,
+    members: DataFrame, check: Callable[[DataFrame], DataFrame], keep: list[str], rounds: int = 4,
+    cells: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0, extra: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The links (a, b, ...) that ``check`` leaves of pairs (a, b), and the components they make.
 
-    First each member of a bucket is paired with its least. Then, as long as that links something
-    and for ``rounds`` rounds at most, a random member of each component in a bucket is paired with
-    a random one of another: that joins at little cost what would else make many pairs. Last, all
-    pairs that a bucket still holds in different components are checked, so that any two members of
-    a bucket are in one component, or were checked, or can't be similar by the ``cells`` (id, cells)
-    of the ids given (see ``crossing``).
+    First each member of a bucket is paired with its least, and of further pairs ``extra`` (a, b, n)
+    each a's one of most n; then the pairs of ``extra`` whose ends are still in different components.
+    Then, as long as that links something and for ``rounds`` rounds at most, a random member of each
+    component in a bucket is paired with a random one of another: that joins at little cost what
+    would else make many pairs. Last, all pairs that a bucket still holds in different components are
+    checked, so that any two members of a bucket are in one component, or were checked, or can't be
+    similar by the ``cells`` (id, cells) of the ids given (see ``crossing``). So ``rounds`` decides
+    about the work, not about the result.
     """
-    pairs = written(members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs", keep)
+    first = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    if extra is not None:
+        first = first.unionByName(extra.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("b")))
+    pairs = written(first.distinct(), "pairs", keep)
     links = written(check(pairs), "verified", keep)
     parts = written(components(links, keep), "components", keep)
+    if extra is not None:
+        rest = extra.select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(parts.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
+        more = written(rest.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b"), "pairs", keep)
+        found = written(check(more), "verified", keep)
+        pairs, links, parts = pairs.unionByName(more), links.unionByName(found), joined(parts, found, keep)
     for k in range(rounds):
         of = members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         pick = of.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias("id"))
-        first = pick.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        more = pick.join(first, "key").where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        one = pick.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        more = pick.join(one, "key").where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs", keep)
         if more.isEmpty():
             break
@@ -202,7 +216,7 @@ def link(
         return links, parts
     if cells is not None:
         rows = rows.join(cells(rows.select("id").distinct()), "id")
-    more = written(crossing(rows, least).join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs", keep)
+    more = written(crossing(rows, least).join(pairs, ["a", "b"], "left_anti"), "pairs", keep)
     found = written(check(more), "verified", keep)
     if found.isEmpty():
         return links, parts
@@ -219,10 +233,12 @@ def salted(pairs: DataFrame, size: int) -> DataFrame:
     """Rows (id, b, salt, kind) that bring both ends of the pairs to where they are compared: kind 0
     is b itself, once for each salt; kind 1 are its partners, about ``size`` a salt.
 
-    Only a b of more than ``size`` pairs needs salts, so the counts that the pairs meet are at most
-    one for every ``size`` of them, and a join that keeps the pairs' own partitions will often do."""
+    Only a b of more than ``size`` pairs needs salts. Pairs meet the counts of such a b by b and one
+    of SPREAD parts, so that those of a b that very many have are not dealt to one task."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / size).alias("copies")).where("copies > 1")
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    part = F.pmod(F.xxhash64("a"), F.lit(SPREAD)).cast("int")
     salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1)))
-    rows = pairs.join(copies, "b", "left").withColumn("salt", salt.cast("int"))
+    rows = pairs.withColumn("part", part).join(copies, ["b", "part"], "left").withColumn("salt", salt.cast("int"))
     members = rows.select(F.col("a").alias("id"), "b", "salt", F.lit(1).alias("kind"))
     return members.unionByName(rows.select(F.col("b").alias("id"), "b", "salt", F.lit(0).alias("kind")).distinct())
