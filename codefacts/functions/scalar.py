@@ -67,12 +67,6 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(places, F.lit(FNV_START).cast("long"), step)
 
 
-def content_hash(text: Column) -> Column:
-    """The hash that tells changed files: FNV-1a, one bit flipped where it would be all ones."""
-    h = fnv1a(text)
-    return F.when(h == 0xFFFFFFFF, h.bitwiseXOR(1)).otherwise(h)
-
-
 def source_lines(text: Column) -> Column:
     """The lines of a source: split at line feeds, one carriage return at an end gone, no last
     empty line."""
@@ -86,30 +80,11 @@ def call_shape(name: str) -> str:
     return rf"(^|[^A-Za-z0-9_]){re.escape(name)}[ \t]*\("
 
 
-def call_shapes(line: Column, name: Column) -> Column:
-    """Whether a line has the shape of a call of ``name``, a column."""
-    return F.regexp_like(line, F.concat(F.lit(r"(^|[^A-Za-z0-9_])\Q"), name, F.lit(r"\E[ \t]*\(")))
-
-
 def word_bound(word: str) -> str:
     """A pattern of ``word`` as a whole identifier."""
     return rf"(^|[^A-Za-z0-9_]){re.escape(word)}($|[^A-Za-z0-9_])"
 
 
-def type_clean(text: Column) -> Column:
-    """A type's name: what stands before the first ``<``, without spaces."""
-    return F.replace(F.substring_index(text, "<", 1), F.lit(" "), F.lit(""))
-
-
-def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
-def char_column(line: Column, byte: Column) -> Column:
-    """The character column of a UTF-8 byte column; the line's length past its end."""
-    return F.char_length(F.decode(F.substring(F.encode(line, "UTF-8"), F.lit(1), byte), "UTF-8"))
-
-
 def upper_median(values: Column) -> Column:
     """An aggregate: the element at n/2 of the sorted values, 0 without any; no interpolation."""
     got = F.sort_array(F.collect_list(values))

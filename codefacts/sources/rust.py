@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CONST, ENUM, FN, IMPL, METHOD, SITE, STRUCT, TRAIT
-from ..store import ship
+from ..store import ship, written
 
 #: Fixed value: characters of a doc line that are kept.
 DOC_MOST = 100
@@ -119,12 +119,20 @@ class Extract:
     sites: list[tuple[int, str, str, int, int, int]] = field(default_factory=list)
 
 
+#: Tokens of a signature that no space stands before, and after.
+_TIGHT_BEFORE = frozenset([")", "]", ">", ",", ";", ":", "::", "(", "<"])
+_TIGHT_AFTER = frozenset(["(", "[", "<", "&", "&&", "::"])
+
+
 def spaced(tokens: list[Token]) -> str:
-    """A signature in one line: no space inside brackets, before commas and around paths."""
-    out = " ".join(t.text for t in tokens if t.kind != "doc")
-    for was, now in ((" :: ", "::"), (" (", "("), ("( ", "("), (" )", ")"), (" ,", ","), (" :", ":"), (" <", "<"), ("< ", "<"), (" >", ">"), ("& ", "&"), (" ;", ";"), (" .", ".")):
-        out = out.replace(was, now)
-    return out.replace("->", " -> ").replace("  ", " ").strip()
+    """A signature in one line: neighbouring tokens are one space apart unless either is tight."""
+    texts = [t.text for t in tokens if t.kind != "doc"]
+    out = texts[:1]
+    for left, right in zip(texts, texts[1:]):
+        if left not in _TIGHT_AFTER and right not in _TIGHT_BEFORE:
+            out.append(" ")
+        out.append(right)
+    return "".join(out)
 
 
 class _Parser:
@@ -398,9 +406,13 @@ def fnv1a(text: str) -> int:
     return h ^ 1 if h == 0xFFFFFFFF else h
 
 
+def key(*parts: object) -> int:
+    """An id: 63 bits of a hash of the parts."""
+    return int.from_bytes(hashlib.sha256("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")).digest()[:8], "big") >> 1
+
+
 def file_key(path: str) -> int:
-    """A file's id: 47 bits of its path's hash, so that ids of its items fit a long."""
-    return int.from_bytes(hashlib.sha256(path.encode()).digest()[:6], "big") >> 1
+    return key("file", path)
 
 
 _FACT = "tag string, path string, crate_ string, " + ", ".join(
@@ -418,18 +430,18 @@ def facts_of(path: str, crate: str, src: str) -> list[tuple]:
     fid = file_key(path)
     loc = len(src.split("\n")) - (src.endswith("\n") or not src)
     rows = [("file", path, crate, fid, fnv1a(src), None, None, None, None, None, None, 0, loc, None, None, None, None)]
-    for i, s in enumerate(got.syms):
-        rows.append(("sym", path, crate, fid, fid << 16 | i, s["col"], s["name"], s["module"], s["container"], s["sig"], s["doc"], s["kind"], s["vis"], s["is_async"], s["is_test"], s["line"], s["end_line"]))
+    ids = [key("sym", path, i) for i in range(len(got.syms))]
+    for i, s in zip(ids, got.syms):
+        rows.append(("sym", path, crate, fid, i, s["col"], s["name"], s["module"], s["container"], s["sig"], s["doc"], s["kind"], s["vis"], s["is_async"], s["is_test"], s["line"], s["end_line"]))
     for i, (caller, name, qual, method, line, col) in enumerate(got.sites):
-        rows.append(("site", path, crate, fid, fid << 16 | i, fid << 16 | caller, name, qual, None, None, None, method, line, col, None, None, None))
+        rows.append(("site", path, crate, fid, key("site", path, i), ids[caller], name, qual, None, None, None, method, line, col, None, None, None))
     for name, target, line in got.impls:
         rows.append(("impl", path, crate, fid, None, None, name, target, None, None, None, line, None, None, None, None, None))
     return rows
 
 
-def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(file, sym with ``col``, site, impl) of sources (path, crate_, text): one pass in Python
-    workers, whose tagged rows are then split."""
+def tagged(sources: DataFrame) -> DataFrame:
+    """The facts of sources (path, crate_, text) as rows with a tag: one pass in Python workers."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -440,7 +452,12 @@ def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
             yield frame
 
     ship(sources.sparkSession)
-    rows = sources.select("path", "crate_", "text").mapInPandas(run, _FACT)
+    return sources.select("path", "crate_", "text").mapInPandas(run, _FACT)
+
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(file, sym with ``col``, site, impl) of tagged rows. Write them first: each of the four reads
+    them, and must not parse the sources again."""
     c = F.col
     file = rows.where("tag = 'file'").select("file_id", "path", "crate_", c("i1").alias("lang"), c("i2").alias("loc"), c("a").alias("hash"))
     sym = rows.where("tag = 'sym'").select(
@@ -455,3 +472,6 @@ def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     return file, sym, site, impl
 
 
+def extract(sources: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(file, sym, site, impl) of sources, each of which is parsed once."""
+    return split(written(tagged(sources), "tagged", keep))

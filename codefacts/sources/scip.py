@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import ship
@@ -85,11 +85,14 @@ def decode(data: bytes) -> Iterator[tuple[str, int, int, str, int, int]]:
             seq += 1
 
 
-def char_column(line: str | None, byte: int) -> int:
-    """The character column of a byte column; past the end the line's length."""
-    if line is None or line.isascii():
-        return byte if line is None else min(byte, len(line))
-    return len(line.encode()[:byte].decode(errors="ignore"))
+def char_column(line: Column, byte: Column) -> Column:
+    """The character column of a UTF-8 byte column: the characters that begin before it. Past the
+    line's end its length, without a line the byte column. A column inside a character counts it."""
+    ascii_ = F.octet_length(line) == F.char_length(line)
+    # Bytes that continue a character are 80 to BF; hex digits are two a byte.
+    digits = F.hex(F.substring(F.encode(line, "UTF-8"), F.lit(1), byte))
+    chars = F.char_length(F.regexp_replace(digits, "([0-7C-F])([0-9A-F])|[89AB][0-9A-F]", "$1"))
+    return F.when(line.isNull(), byte).when(ascii_, F.least(byte, F.char_length(line))).otherwise(chars)
 
 
 def occurrences(spark: SparkSession, index: str, lines: DataFrame, file: DataFrame) -> DataFrame:
@@ -105,9 +108,7 @@ def occurrences(spark: SparkSession, index: str, lines: DataFrame, file: DataFra
     raw = spark.read.format("binaryFile").load(index).select("content").mapInPandas(run, "rel_path string, line0 int, byte0 int, symbol string, role int, seq long")
     text = lines.join(file.select("file_id", F.col("path").alias("rel_path")), "file_id").select("rel_path", (F.col("ln") - 1).cast("int").alias("line0"), "text")
     met = raw.join(text, ["rel_path", "line0"], "left")
-    chars = F.char_length(F.decode(F.substring(F.encode("text", "UTF-8"), F.lit(1), F.col("byte0")), "UTF-8"))
-    col = F.when(F.col("text").isNull(), F.col("byte0")).when(F.octet_length("text") == F.char_length("text"), F.least("byte0", F.char_length("text"))).otherwise(chars)
-    return met.select("rel_path", "line0", col.cast("int").alias("col0"), "symbol", "role", "seq")
+    return met.select("rel_path", "line0", char_column(F.col("text"), F.col("byte0")).cast("int").alias("col0"), "symbol", "role", "seq")
 
 
 def thin(occurrence: DataFrame, file: DataFrame) -> bool:

@@ -9,16 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def rust_files(root: str) -> list[str]:
-    """Paths of ``.rs`` files under a local root, sorted. Folders and files called ``target`` or
-    starting with a dot are left out; the root's own name doesn't matter."""
-    out = []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d != "target" and not d.startswith("."))
-        out += [os.path.join(folder, n) for n in names if n.endswith(".rs") and n != "target" and not n.startswith(".")]
-    return sorted(out)
-
-
 def package_name(manifest: str) -> str | None:
     """The name in the ``[package]`` section of a manifest's text."""
     inside = False
@@ -52,26 +42,42 @@ def repository_root(path: str) -> str | None:
     return str(top[-1]) if top else None
 
 
-def sources(spark: SparkSession, root: str) -> DataFrame:
-    """(path, crate_, text, modificationTime) of the sources under a root, read by Spark.
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, crate_, modificationTime, content) of the ``.rs`` files under a root, by paths relative
+    to it. Folders and files called ``target`` or starting with a dot are left out, whatever the root
+    itself is called.
 
     The crate is that of the nearest folder up whose manifest names a package, else ``root``: each
     path's folders are joined with the manifests and the longest wins.
     """
-    base = os.path.abspath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.rs").load(f"file://{base}")
-    path = F.regexp_replace(F.col("path"), f"^file:/*{base.lstrip('/')}/", "")
+    base = Path(os.path.abspath(root))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.rs")
+    # The root goes by its length: it is no pattern.
+    full = F.regexp_replace(F.col("path"), "^file:/*", "/")
+    path = F.substr(full, F.lit(len(str(base).rstrip("/")) + 2))
     hidden = F.exists(F.split("path", "/"), lambda x: (x == "target") | x.startswith("."))
-    files = files.select(path.alias("path"), "modificationTime", F.decode("content", "UTF-8").alias("text")).where(~hidden)
-    found = manifests(base)
+    files = read.load(_literal(str(base))).select(path.alias("path"), "modificationTime", "content").where(~hidden)
+    found = manifests(str(base))
+    if not found:
+        return files.select("path", F.lit("root").alias("crate_"), "modificationTime", "content")
     parts = F.slice(F.split("path", "/"), 1, F.array_size(F.split("path", "/")) - 1)
     # Longest folder first; "." is the root itself.
     folders = F.transform(F.sequence(F.array_size(parts), F.lit(0), F.lit(-1)), lambda n: F.when(n == 0, ".").otherwise(F.array_join(F.slice(parts, 1, n), "/")))
-    if not found:
-        return files.select("path", F.lit("root").alias("crate_"), "text", "modificationTime")
     names = spark.createDataFrame(list(found.items()), "folder string, package string")
     near = (
         files.select("path", F.posexplode(folders).alias("far", "folder")).join(names, "folder")
         .groupBy("path").agg(F.min_by("package", "far").alias("package"))
     )
-    return files.join(near, "path", "left").select("path", F.coalesce("package", F.lit("root")).alias("crate_"), "text", "modificationTime")
+    return files.join(near, "path", "left").select("path", F.coalesce("package", F.lit("root")).alias("crate_"), "modificationTime", "content")
+
+
+def _literal(path: str) -> str:
+    """A path in which nothing is a wildcard."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\," else c for c in path)
+
+
+def sources(spark: SparkSession, root: str) -> DataFrame:
+    """(path, crate_, text, modificationTime) of the sources under a root. A file that is no UTF-8
+    is left out, like one that can't be parsed."""
+    files = listing(spark, root).where(F.is_valid_utf8(F.col("content").cast("string")))
+    return files.select("path", "crate_", F.col("content").cast("string").alias("text"), "modificationTime")

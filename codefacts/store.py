@@ -1,9 +1,9 @@
 """Where facts live: Parquet tables in a folder that all executors share.
 
-A store is a folder with one table per fact kind and a one-row ``meta``. Facts of several
-repositories lie side by side, told apart by ``crate_``/``repo``; ``sym`` is sorted by name and
-``call`` by callee, so that row-group statistics prune name look-ups, and ``edge`` (the distinct
-resolved caller-callee pairs) is sorted by callee for reverse traversal.
+A store is a folder with one table per fact kind and a one-row ``meta``. ``sym`` is sorted by name
+and ``call`` by callee, so that row-group statistics prune name look-ups; ``edge``, the distinct
+resolved caller-callee pairs, is kept besides and sorted by callee for traversal. Several
+repositories are several stores, read side by side by ``repositories``.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     there = spark.conf.get(_CHECKPOINT, None) or spark.conf.get("codefacts.shared.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CHECKPOINT} to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="codefacts-")
         spark.conf.set("codefacts.shared.dir", there)
         spark.sparkContext.setCheckpointDir(there)
@@ -94,6 +96,7 @@ class Facts:
     impl: DataFrame
     meta: DataFrame
     lines: DataFrame | None = None
+    edge: DataFrame | None = None
     paths: list[str] = field(default_factory=list)
 
     @property
@@ -101,7 +104,9 @@ class Facts:
         return self.sym.sparkSession
 
     def edges(self) -> DataFrame:
-        """Distinct (caller, callee_sym) of the resolved calls."""
+        """Distinct (caller, callee_sym) of the resolved calls, as stored."""
+        if self.edge is not None:
+            return self.edge
         return self.call.where(F.col("callee_sym").isNotNull()).select("caller", "callee_sym").distinct()
 
 
@@ -116,12 +121,17 @@ def save(facts: Facts, path: str) -> Facts:
         if name in _ORDER:
             table = table.repartitionByRange(*_ORDER[name]).sortWithinPartitions(*_ORDER[name])
         table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-    return load(facts.spark, path, facts.lines)
+    call = facts.spark.read.schema(SCHEMAS["call"]).parquet(f"{path}/call")
+    edge = call.where(F.col("callee_sym").isNotNull()).select("caller", "callee_sym").distinct()
+    edge.repartitionByRange("callee_sym", "caller").sortWithinPartitions("callee_sym", "caller").write.mode("overwrite").parquet(f"{path}/edge")
+    out = load(facts.spark, path, facts.lines)
+    out.paths = [path]
+    return out
 
 
 def load(spark: SparkSession, path: str, lines: DataFrame | None = None) -> Facts:
     tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()}
-    return Facts(**tables, lines=lines)
+    return Facts(**tables, lines=lines, edge=spark.read.schema("caller long, callee_sym long").parquet(f"{path}/edge"))
 
 
 def version(facts: Facts) -> int | None:

@@ -1,69 +1,100 @@
-"""The engine over a small crate with hand-checked answers."""
+"""The engine over a small crate of our own with answers checked by hand."""
 
 import pytest
 
 from codefacts.engine import Engine
 
-MANIFEST = '[package]\nname = "fix"\nversion = "0.0.0"\n'
-LIB = """mod other;
+ROOT_MANIFEST = '[workspace]\nmembers = ["shop", "till"]\n'
+SHOP = """//! Orders of a shop.
 
-pub fn target() {}
+/// What can be priced.
+pub trait Priced {
+    fn cents(&self) -> u64;
+    fn taxed(&self) -> u64 {
+        self.cents() + levy(self.cents())
+    }
+}
 
-pub fn mid() {
-    target();
-    target();
+#[derive(Clone)]
+pub struct Basket<T> {
+    items: Vec<T>,
 }
 
-pub fn top() {
-    mid();
+impl<T: Priced> Priced for Basket<T> {
+    fn cents(&self) -> u64 {
+        let mut sum = 0;
+        for item in &self.items {
+            sum += item.cents();
+        }
+        sum
+    }
 }
 
-pub trait T {
-    fn m(&self);
+impl<T> Basket<T> {
+    pub(crate) fn fresh() -> Self {
+        Self::with(Vec::new())
+    }
+
+    fn with(items: Vec<T>) -> Self {
+        Basket { items }
+    }
 }
 
-pub struct A;
-pub struct B;
+pub mod rates {
+    pub const LEVY: u64 = 19;
 
-impl T for A {
-    fn m(&self) {}
+    pub fn rounded(x: u64) -> u64 {
+        x / 100
+    }
 }
-impl T for B {
-    fn m(&self) {}
+
+fn levy(cents: u64) -> u64 {
+    rates::rounded(cents * rates::LEVY)
 }
+"""
+TILL = """use shop::Basket;
 
-// one name, two definitions
-pub fn dup() {}
+pub enum Coin {
+    Small,
+    Large,
+}
 
-pub struct C;
-impl C {
-    pub fn dup(&self) {}
+pub async fn checkout() -> u64 {
+    let basket = Basket::fresh();
+    receipt(basket.taxed())
 }
 
-pub fn ambig_user() {
-    let c = C;
-    c.dup();
+fn receipt(total: u64) -> u64 {
+    log_total(total);
+    total
 }
 
 #[cfg(test)]
-#[test]
-fn reaches_target() {
-    top(); // by way of mid
+mod checks {
+    fn prepared() -> u64 {
+        super::receipt(5)
+    }
+
+    #[test]
+    fn receipt_keeps_total() {
+        assert!(true);
+        prepared();
+    }
 }
 """
-OTHER = "pub fn caller() {\n    target();\n}\n"
 
 
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
-    root = tmp_path_factory.mktemp("crate")
-    (root / "src").mkdir()
+    root = tmp_path_factory.mktemp("market")
+    (root / "Cargo.toml").write_text(ROOT_MANIFEST)
+    for name, text in (("shop", SHOP), ("till", TILL)):
+        (root / name / "src").mkdir(parents=True)
+        (root / name / "Cargo.toml").write_text(f'[package]\nname = "{name}"\n')
+        (root / name / "src/lib.rs").write_text(text)
     (root / "target").mkdir()
-    (root / "Cargo.toml").write_text(MANIFEST)
-    (root / "src/lib.rs").write_text(LIB)
-    (root / "src/other.rs").write_text(OTHER)
-    (root / "target/x.rs").write_text("fn hidden() {}")
-    (root / "src/.y.rs").write_text("fn hidden() {}")
+    (root / "target/built.rs").write_text("fn built() {}")
+    (root / "till/src/broken.rs").write_text("fn broken( {")
     return root
 
 
@@ -77,52 +108,123 @@ def labels(df):
 
 
 def test_symbols(engine):
-    rows = {(r["label"], r["kind"], r["vis"], r["line"], r["is_test"]) for r in engine.facts.sym.selectExpr("IF(container = '', name, container || '::' || name) AS label", "kind", "vis", "line", "is_test").collect()}
+    rows = {
+        (r["path"][:4], r["label"], r["kind"], r["vis"], r["line"], r["test"])
+        for r in engine.search().join(engine.facts.sym.selectExpr("sym_id", "is_test AS test"), "sym_id").collect()
+    }
     assert rows == {
-        ("target", 0, 0, 3, 0), ("mid", 0, 0, 5, 0), ("top", 0, 0, 10, 0), ("T", 4, 0, 14, 0), ("T::m", 1, 0, 15, 0), ("A", 2, 0, 18, 0), ("B", 2, 0, 19, 0),
-        ("A::m", 1, 3, 22, 0), ("B::m", 1, 3, 25, 0), ("dup", 0, 0, 29, 0), ("C", 2, 0, 31, 0), ("C::dup", 1, 0, 33, 0), ("ambig_user", 0, 0, 36, 0),
-        ("reaches_target", 0, 3, 43, 1), ("caller", 0, 0, 1, 0),
+        ("shop", "Priced", "trait", "pub", 4, 0), ("shop", "Priced::cents", "method", "pub", 5, 0), ("shop", "Priced::taxed", "method", "pub", 6, 0),
+        ("shop", "Basket", "struct", "pub", 12, 0), ("shop", "Basket::cents", "method", "priv", 17, 0), ("shop", "Basket::fresh", "method", "crate", 27, 0),
+        ("shop", "Basket::with", "method", "priv", 31, 0), ("shop", "LEVY", "const", "pub", 37, 0), ("shop", "rounded", "fn", "pub", 39, 0),
+        ("shop", "levy", "fn", "priv", 44, 0), ("till", "Coin", "enum", "pub", 3, 0), ("till", "checkout", "fn", "pub", 8, 0),
+        ("till", "receipt", "fn", "priv", 13, 0), ("till", "prepared", "fn", "priv", 20, 1), ("till", "receipt_keeps_total", "fn", "priv", 25, 1),
     }
-    assert {r["path"]: (r["crate_"], r["loc"]) for r in engine.facts.file.collect()} == {"src/lib.rs": ("fix", 45), "src/other.rs": ("fix", 3)}
+    assert {r["path"]: (r["crate_"], r["loc"]) for r in engine.facts.file.collect()} == {"shop/src/lib.rs": ("shop", 46), "till/src/lib.rs": ("till", 29)}
+    assert {r["doc"] for r in engine.definition("Priced").collect()} == {"What can be priced."}
+    assert [r["sig"] for r in engine.definition("with").collect()] == ["fn with(items: Vec<T>) -> Self"]
+
+
+def test_resolution(engine):
+    """Each call with what it means: see the cascade in ``operators.resolve``."""
+    names = {r["sym_id"]: r["label"] for r in engine.search().collect()}
+    got = sorted((r["callee"], r["qual"], r["res"], names.get(r["callee_sym"], "")) for r in engine.facts.call.collect())
+    assert got == sorted([
+        ("cents", "", 3, ""), ("cents", "", 3, ""), ("cents", "", 3, ""), ("levy", "", 1, "levy"), ("with", "Self", 2, "Basket::with"), ("new", "Vec", 0, ""),
+        ("rounded", "rates", 2, "rounded"), ("fresh", "Basket", 2, "Basket::fresh"), ("receipt", "", 1, "receipt"), ("taxed", "", 1, "Priced::taxed"),
+        ("log_total", "", 0, ""), ("receipt", "super", 0, ""), ("prepared", "", 1, "prepared"),
+    ])
 
 
 def test_callers(engine):
-    assert labels(engine.callers_confirmed("target")) == ["caller", "mid", "mid"]
-    assert engine.callers_candidates("target").count() == 0
-    assert {r["label"]: r["n"] for r in engine.callers_summary("dup").collect()} == {"C::dup": 1, "dup": 0}
-    assert engine.callers_totals("target").first().asDict() == {"name_total": 3, "confirmed": 3, "candidates": 0, "other": 0}
-    assert [r["source"] for r in engine.callers_confirmed("mid", with_source=True).collect()] == ["mid();"]
+    assert labels(engine.callers_confirmed("receipt")) == ["checkout"]
+    assert [(r["label"], r["res"]) for r in engine.callers_candidates("receipt").collect()] == [("prepared", "unresolved")]
+    assert engine.callers_totals("receipt").first().asDict() == {"name_total": 2, "confirmed": 1, "candidates": 1, "other": 0}
+    assert {r["label"]: r["n"] for r in engine.callers_summary("cents").collect()} == {"Priced::cents": 0, "Basket::cents": 0}
+    assert [r["source"] for r in engine.callers_confirmed("levy", with_source=True).collect()] == ["self.cents() + levy(self.cents())"]
 
 
 def test_graph(engine):
-    assert [tuple(r) for r in engine.edges().collect()] == [("src/other.rs", "src/lib.rs", 1)]
-    assert {(r["label"], r["depth"]) for r in engine.impact("target").collect()} == {("mid", 1), ("caller", 1), ("top", 2), ("reaches_target", 3)}
-    assert [(r["label"], r["depth"]) for r in engine.tests_reaching("target").collect()] == [("reaches_target", 3)]
-    assert [r["label"] for r in engine.call_path("reaches_target", "target").orderBy("hop").collect()] == ["reaches_target", "top", "mid", "target"]
-    assert engine.call_path("target", "top").count() == 0
+    assert [tuple(r) for r in engine.edges().collect()] == [("till/src/lib.rs", "shop/src/lib.rs", 2)]
+    assert {(r["label"], r["depth"]) for r in engine.impact("rounded").collect()} == {("levy", 1), ("Priced::taxed", 2), ("checkout", 3)}
+    assert [(r["label"], r["depth"]) for r in engine.tests_reaching("prepared").collect()] == [("receipt_keeps_total", 1)]
+    assert [r["label"] for r in engine.call_path("checkout", "rounded").orderBy("hop").collect()] == ["checkout", "Priced::taxed", "levy", "rounded"]
+    assert engine.call_path("rounded", "checkout").count() == 0
 
 
 def test_search(engine):
-    assert labels(engine.search("kind:fn", "vis:pub")) == ["ambig_user", "caller", "dup", "mid", "target", "top"]
-    assert labels(engine.search("kind:fn", "calls:target")) == ["caller", "mid"]
+    assert labels(engine.search("kind:fn", "vis:pub")) == ["checkout", "rounded"]
+    assert labels(engine.search("kind:method", "calls:levy")) == ["Priced::taxed"]
+    assert labels(engine.search("async:yes")) == ["checkout"]
+    assert labels(engine.search("module:rates")) == ["LEVY", "rounded"]
     assert engine.search("kind:nothing", "color:red").count() == 15
     assert engine.search("kind:fn", "kind:method").count() == 0
-    assert sorted(r["name"] for r in engine.implementations("T").collect()) == ["A", "B"]
-    assert [r["sig"] for r in engine.definition("dup").orderBy("line").collect()] == ["fn dup()", "fn dup(&self)"]
-    assert [r["ln"] for r in engine.body("reaches_target").orderBy("ln").collect()] == [41, 42, 43, 44, 45]
-    assert {(r["line"], r["label"]) for r in engine.text("BY WAY").collect()} == {(44, "reaches_target")}
+    assert [(r["direction"], r["name"]) for r in engine.implementations("Priced").collect()] == [("type", "Basket")]
+    assert [r["ln"] for r in engine.body("receipt_keeps_total").orderBy("ln").collect()] == [24, 25, 26, 27, 28]
+    assert {(r["line"], r["note"], r["label"]) for r in engine.text("priced").collect()} == {(3, "doc of next def", "Priced"), (4, "in", "Priced"), (16, "in", "Basket")}
+    assert {(r["note"], r["label"]) for r in engine.text("ORDERS OF").collect()} == {("module doc", None)}
+
+
+def rows(facts, name):
+    return sorted(repr(sorted(r.asDict().items())) for r in getattr(facts, name).collect())
 
 
 def test_refresh_equals_rebuild(spark, tree):
     engine = Engine(spark).index(str(tree))
-    (tree / "src/other.rs").write_text(OTHER + "pub fn extra() {\n    target();\n}\n")
+    assert {tuple(r) for r in engine.stale().collect()} == {("till/src/broken.rs", "added")}
+    (tree / "till/src/lib.rs").write_text(TILL + "pub fn levy() {}\n")
+    (tree / "till/src/more.rs").write_text("fn again() { checkout(); }\n")
+    (tree / "till/src/broken.rs").unlink()
     try:
-        assert [tuple(r) for r in engine.refresh().collect()] == [("src/other.rs", "modified")]
+        assert {tuple(r) for r in engine.refresh().collect()} == {("till/src/lib.rs", "modified"), ("till/src/more.rs", "added")}
         full = Engine(spark).index(str(tree))
-        for name in ("sym", "call", "impl", "file"):
-            key = lambda r: repr(sorted(r.asDict().items()))
-            assert sorted(map(key, getattr(engine.facts, name).collect())) == sorted(map(key, getattr(full.facts, name).collect()))
-        assert labels(engine.callers_confirmed("target")) == ["caller", "extra", "mid", "mid"]
-        assert engine.refresh().count() == 0
+        for name in ("sym", "call", "impl", "file", "edge"):
+            assert rows(engine.facts, name) == rows(full.facts, name)
+        assert labels(engine.callers_confirmed("checkout")) == ["again"] and engine.callers_confirmed("levy").count() == 0
+        assert engine.facts.meta.first()["upd_since_bake"] == 0
+        before = engine.facts.sym
+        engine.facts.meta = engine.facts.meta.selectExpr("* EXCEPT (built_at)", "0L AS built_at")
+        assert engine.refresh().count() == 0 and engine.facts.sym is before and engine.facts.meta.first()["built_at"] > 0
+        (tree / "till/src/more.rs").unlink()
+        assert [tuple(r) for r in engine.refresh().collect()] == [("till/src/more.rs", "deleted")]
+        assert engine.facts.file.count() == 2 and engine.callers_confirmed("checkout").count() == 0
+    finally:
+        (tree / "till/src/lib.rs").write_text(TILL)
+        (tree / "till/src/broken.rs").write_text("fn broken( {")
+
+
+def varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+def field(number, data):
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def occurrence(place, symbol, roles=0):
+    return field(2, field(1, b"".join(map(varint, place))) + field(2, symbol.encode()) + varint(3 << 3) + varint(roles))
+
+
+def test_precise_index(spark, tree, tmp_path, caplog):
+    """Occurrences by position win over the cascade; a site without one falls back to it."""
+    shop = [occurrence([4, 7, 12], "shop Priced cents", 1), occurrence([16, 7, 12], "shop Basket cents", 1), occurrence([19, 24, 29], "shop Priced cents", 8), occurrence([6, 13, 18], "std u64 cents", 8)]
+    till = [occurrence([12, 3, 10], "till receipt", 1), occurrence([13, 4, 13], "log total", 8), occurrence([20, 15, 22], "till receipt", 8), occurrence([9, 19, 24], "local 4", 8)]
+    index = tmp_path / "index.scip"
+    index.write_bytes(field(2, field(1, b"shop/src/lib.rs") + b"".join(shop)) + field(2, field(1, b"till/src/lib.rs") + b"".join(till)))
+    engine = Engine(spark).index(str(tree), str(index))
+    names = {r["sym_id"]: r["label"] for r in engine.search().collect()}
+    got = {(r["callee"], r["line"], r["res"], names.get(r["callee_sym"], "")) for r in engine.facts.call.collect()}
+    assert {("cents", 20, 1, "Priced::cents"), ("receipt", 21, 1, "receipt"), ("log_total", 14, 0, ""), ("levy", 7, 1, "levy"), ("taxed", 10, 0, "")} <= got
+    assert {(names[r["sym_id"]], r["line"], r["role"]) for r in engine.facts.ref.collect()} == {
+        ("Priced::cents", 5, 1), ("Priced::cents", 20, 8), ("Basket::cents", 17, 1), ("receipt", 13, 1), ("receipt", 21, 8),
+    }
+    assert {r["symbol"] for r in engine.facts.extref.collect()} == {"std u64 cents", "log total"}
+    assert sorted((r["line"], r["role"]) for r in engine.refs("receipt").collect()) == [(13, "def"), (21, "read")]
+    many = [tree / f"till/src/n{i}.rs" for i in range(20)]
+    try:
+        for p in many:
+            p.write_text("fn n() {}")
+        engine.refresh()
+        assert engine.facts.meta.first()["upd_since_bake"] == 21 and "files changed" in caplog.text
     finally:
-        (tree / "src/other.rs").write_text(OTHER)
+        for p in many:
+            p.unlink()

@@ -47,13 +47,35 @@ impl<T> std::fmt::Display for S<T> { const K: u8 = 1; fn fmt(&self) {} }
     assert rust.facts_of("a.rs", "c", "fn f( {") == []
 
 
-def test_tree(tmp_path):
-    for p in ("src/a.rs", "sub/b.rs", "target/c.rs", ".hid/d.rs", "src/.e.rs", "src/f.txt"):
-        (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
-        (tmp_path / p).write_text("")
-    assert [p[len(str(tmp_path)) + 1 :] for p in tree.rust_files(str(tmp_path))] == ["src/a.rs", "sub/b.rs"]
+def test_signatures():
+    sig = lambda src: rust.parse(src + " {}").syms[0]["sig"]
+    assert sig("pub async fn g<'a,T:Clone>( x : &'a [ u8 ;4 ],f:impl Fn(T)->u8 ) -> Vec< Option<T>> where T : Copy") == (
+        "async fn g<'a, T: Clone>(x: &'a [u8; 4], f: impl Fn(T) -> u8) -> Vec<Option<T>> where T: Copy"
+    )
+    assert sig("fn h(self: &mut Self, p: a :: b::C)") == "fn h(self: &mut Self, p: a::b::C)"
+
+
+def test_ids_of_large_files():
+    rows = rust.facts_of("big.rs", "c", "fn f() {" + "g();" * 70_000 + "}")
+    assert len({r[4] for r in rows if r[0] == "site"}) == 70_000 and len({r[5] for r in rows if r[0] == "site"}) == 1
+
+
+@pytest.mark.parametrize("name", ["plain", "a+b (1)", ".hid/p[2]", "target/x y%20z"])
+def test_tree(spark, tmp_path, name):
+    """The root may be called anything; folders under it that are hidden or build output are left out."""
+    root = tmp_path / name
+    for p in ("src/a.rs", "sub/b.rs", "target/c.rs", "sub/target/c.rs", ".hid/d.rs", "src/.e.rs", "src/f.txt"):
+        (root / p).parent.mkdir(exist_ok=True, parents=True)
+        (root / p).write_text("fn f() {}")
+    (root / "src/latin.rs").write_bytes(b"fn g() {} // \xe9")
+    (root / "sub/Cargo.toml").write_text('[package]\nname = "inner"')
+    assert {(r.path, r.crate_) for r in tree.sources(spark, str(root)).collect()} == {("src/a.rs", "root"), ("sub/b.rs", "inner")}
+
+
+def test_packages(tmp_path):
     assert tree.package_name('[workspace]\nname = "no"\n[package]\nversion = "1"\nname = "yes"\n[deps]\nname = "x"') == "yes"
     assert tree.package_name('[workspace]\nmembers = ["a"]') is None
+    (tmp_path / "src").mkdir()
     (tmp_path / "Cargo.toml").write_text("[workspace]")
     assert tree.repository_root(str(tmp_path / "src")) == str(tmp_path)
 
@@ -62,12 +84,12 @@ def _message(number, data):
     return bytes([number << 3 | 2, len(data)]) + data
 
 
-def test_scip():
+def test_scip(spark):
     occ = lambda r, s, roles: _message(1, bytes(r)) + _message(2, s.encode()) + bytes([3 << 3, roles])
     doc = _message(1, b"src/a.rs") + _message(2, occ([0, 3, 6], "x#", 1)) + _message(2, occ([5], "bad", 0)) + _message(2, occ([1, 4, 1, 6], "local 3", 8))
     assert list(scip.decode(_message(2, doc))) == [("src/a.rs", 0, 3, "x#", 1, 0), ("src/a.rs", 1, 4, "local 3", 8, 1)]
-    assert [scip.char_column("é = f()", b) for b in (0, 2, 5, 99)] == [0, 1, 4, 7]
-    assert scip.char_column("abc", 9) == 3
+    rows = spark.createDataFrame([("é = f()", b) for b in (0, 1, 2, 5, 99)] + [("abc", 9), (None, 4), ("x𝄞y", 5)], "t string, b int").coalesce(1)
+    assert [r[0] for r in rows.select(scip.char_column(F.col("t"), F.col("b"))).collect()] == [0, 1, 1, 4, 7, 3, 4, 2]
 
 
 def test_scalars(spark):
