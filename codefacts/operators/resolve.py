@@ -23,8 +23,8 @@ def _counts(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
     )
 
 
-def resolve(sites: DataFrame, sym: DataFrame) -> DataFrame:
-    """``sites`` as calls: with ``callee_sym`` and ``res``.
+def resolve(sites: DataFrame, sym: DataFrame, *more: str) -> DataFrame:
+    """``sites`` as calls: with ``callee_sym`` and ``res``, and the columns ``more`` as they are.
 
     1. A method call means methods only, any other call all kinds; without any it is unresolved.
     2. Qualified: the qualifier (``Self`` is the caller's container) is a container first: one
@@ -56,11 +56,12 @@ def resolve(sites: DataFrame, sym: DataFrame) -> DataFrame:
         .when(cn == 1, QUALIFIED).when(cn > 1, AMBIGUOUS).when(tn == 1, QUALIFIED).otherwise(UNRESOLVED)
     )
     found = F.when(an == 0, None).when(plain, F.when(an == 1, aid)).when(cn == 1, cid).when((cn == 0) & (tn == 1), tid)
-    return rows.withColumns({"res": res.cast("int"), "callee_sym": found}).select(*CALL.fieldNames())
+    return rows.withColumns({"res": res.cast("int"), "callee_sym": found}).select(*CALL.fieldNames(), *more)
 
 
 def last_symbols(sym: DataFrame) -> DataFrame:
-    """(symbol, sym_id): the symbol strings that syms carry; of several the last one inserted."""
+    """(symbol, known): the symbol strings that syms carry; of several syms the one of largest id,
+    which is fixed by path and place, where an order of insertion isn't."""
     return sym.where("symbol <> ''").groupBy("symbol").agg(F.max("sym_id").alias("known"))
 
 
@@ -75,12 +76,11 @@ def resolve_precise(sites: DataFrame, sym: DataFrame, file: DataFrame, occurrenc
     placed = sites.join(file.select("file_id", F.col("path").alias("rel_path")), "file_id").withColumns({"line0": F.col("line") - 1, "col0": F.col("col")})
     at = positions(occurrences).select("rel_path", "line0", "col0", F.col("symbol").alias("at_symbol"))
     met = placed.join(at, ["rel_path", "line0", "col0"], "left").join(last_symbols(sym).withColumnRenamed("symbol", "at_symbol"), "at_symbol", "left")
-    guess = resolve(sites, sym).select("call_id", F.col("callee_sym").alias("guess"), F.col("res").alias("guess_res"))
     there = F.col("at_symbol").isNotNull()
-    return met.join(guess, "call_id").withColumns(
+    return resolve(met, sym, "at_symbol", "known").withColumns(
         {
-            "callee_sym": F.when(there, F.col("known")).otherwise(F.col("guess")),
-            "res": F.when(there, F.when(F.col("known").isNotNull(), UNIQUE).otherwise(UNRESOLVED)).otherwise(F.col("guess_res")).cast("int"),
+            "callee_sym": F.when(there, F.col("known")).otherwise(F.col("callee_sym")),
+            "res": F.when(there, F.when(F.col("known").isNotNull(), UNIQUE).otherwise(UNRESOLVED)).otherwise(F.col("res")).cast("int"),
         }
     ).select(*CALL.fieldNames())
 

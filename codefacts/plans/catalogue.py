@@ -334,11 +334,25 @@ def snapshot(docs: DataFrame) -> DataFrame:
     return was.unionByName(docs.where("doc_id % 13 = 0").withColumn("doc_id", F.col("doc_id") + 1000000))
 
 
+_previous: dict[int, Facts] = {}
+
+
+def previous(x: Indexed) -> Facts:
+    """The store of the snapshot, as it was before the change; made on the first call."""
+    if id(x) not in _previous:
+        before = corpus.extract(snapshot(x.docs), x.labels)
+        before.sym = written(before.sym, "sym-raw")
+        before.call = written(corpus.resolve(corpus.call_sites(snapshot(x.docs)), before.sym), "call-raw")
+        before.ref, before.extref = corpus.reference_rows(before.sym, before.call, snapshot(x.docs).select(F.col("doc_id").alias("file_id"), "lang"))
+        _previous[id(x)] = save(before, fresh_path(x.docs.sparkSession, "store"))
+    return _previous[id(x)]
+
+
 def refreshed(x: Indexed) -> tuple[Facts, DataFrame, DataFrame]:
     """The facts after the incremental refresh from the snapshot, the changed files, and the
     affected names."""
-    before = corpus.extract(snapshot(x.docs), x.labels)
-    changed = incremental.changed_files(before.file, corpus.files(x.docs))
+    before = previous(x)
+    changed = written(incremental.changed_files(before.file, corpus.files(x.docs)), "changed")
     ids = corpus.files(x.docs).join(changed, "path", "left_semi").select(F.col("file_id").alias("doc_id"))
     now = x.docs.join(ids, "doc_id", "left_semi")
     fresh = corpus.extract(now, x.labels)

@@ -8,7 +8,7 @@ shuffle but for the test flags, which are joined from ``labels``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resolve import resolve
@@ -18,6 +18,12 @@ from ..store import Facts
 WORD = r"\p{L}+"
 
 
+def _padded() -> Column:
+    """The id with eight digits at least; longer ones stay whole."""
+    text = F.col("doc_id").cast("string")
+    return F.when(F.char_length(text) < 8, F.lpad(text, 8, "0")).otherwise(text)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("ls"), "text")
 
@@ -30,7 +36,7 @@ def lines(docs: DataFrame, containing: str | None = None) -> DataFrame:
 
 
 def files(docs: DataFrame) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    path = F.concat_ws("/", "source", "lang", _padded())
     rows = _texts(docs).select(
         F.col("doc_id").alias("file_id"), path.alias("path"), F.col("source").alias("crate_"), F.lit(0).alias("lang"), F.size("ls").alias("loc"),
         # The first 8 hex digits of the MD5 as a number.
@@ -79,7 +85,7 @@ def implementations(docs: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame) -> DataFrame:
     """Words of documents with an even id as occurrences of precise symbols; the others are silent."""
     even = docs.where(F.col("doc_id") % 2 == 0)
-    path = F.concat_ws("/", "source", "lang", F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    path = F.concat_ws("/", "source", "lang", _padded())
     rows = _texts(even).select(path.alias("rel_path"), "lang", "doc_id", F.posexplode("ls").alias("i", "t"))
     rows = rows.select("rel_path", "lang", "doc_id", "i", F.posexplode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("p", "w"))
     return rows.select(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codefacts.functions import scalar as S
+from codefacts.operators import graph
 from codefacts.sources import rust, scip, tree
 
 
@@ -102,3 +103,17 @@ def test_scalars(spark):
         assert spark.createDataFrame([(v,) for v in values], "v int").agg(S.upper_median(F.col("v"))).first()[0] == want
     text = spark.createDataFrame([(x,) for x in "foo();|bar.foo ();|xfoo();|foo_bar();|// foo(|\"foo(\"|foo".split("|")], "t string")
     assert [r[0] for r in text.select(F.col("t").rlike(S.call_shape("foo"))).collect()] == [True, True, False, False, True, True, False]
+
+
+@pytest.mark.parametrize("most", [1 << 21, 0], ids=["one task", "layers"])
+def test_traversal(spark, monkeypatch, most):
+    """Cycles, several seeds and parents, and no path, in one task and layer by layer."""
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 2), (5, 4), (6, 4), (5, 6), (8, 8), (7, 5)], "caller long, callee_sym long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "sym_id long")
+    assert sorted(map(tuple, graph.bfs_layers(edges, ids(2, 2, 99)).collect())) == [(1, 1), (3, 2), (4, 1), (5, 2), (6, 2), (7, 3)]
+    assert sorted(map(tuple, graph.bfs_layers(edges, ids(2), 1).collect())) == [(1, 1), (4, 1)]
+    assert graph.bfs_layers(edges, ids(8)).count() == 0 and graph.bfs_layers(edges, ids()).count() == 0
+    path = lambda a, b: [i for _, i in sorted(map(tuple, graph.shortest_path(edges, a, b).collect()))]
+    assert path(ids(7, 8), ids(3, 1)) == [7, 5, 4, 2, 3] and path(ids(4, 3), ids(3)) == [3]
+    assert path(ids(1), ids(7)) == [] and path(ids(), ids(7)) == []
