@@ -19,8 +19,8 @@
 Words are what white space separates, lower-cased. Defined cases: a text of one to four words is
 one shingle; a null text or one without words is a class of its own; a null id takes no part and
 has a null class; rows of one id are one document if their words agree and are linked as any
-others if not (the class then is the least one of the rows); other columns don't matter; an empty
-table gives an empty result.
+others if not: each text has its own links, and ``class_id`` is that of the row's text; other
+columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidied, written
+from .common import drop, tidied, written
 from .grouping import buckets, degrees, link, salted
 
 SHINGLE, SIMILARITY = 5, 0.8
-COUNTERS, BLOCK, GROUPS = 1 << 21, 1 << 15, 32
+COUNTERS, BLOCK = 1 << 21, 1 << 15
+#: Bits of a task's number that its group of tasks leaves out when counters are added up.
+GROUP_BITS = 9
 #: Document frequencies under this share of the documents are taken as equal.
 FLOOR = 1e-3
 #: How much a rare shingle weighs more than one in all documents: 1 + DAMPING at most, to 1.
@@ -115,12 +117,12 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     return flat[at], tf, np.bincount(owner, minlength=len(out)), digests
 
 
-def idf_of(counts: np.ndarray, docs: int) -> np.ndarray:
-    """Weights by counter, from 1 (in every document) to 1 + DAMPING (under the floor)."""
+def idf_of(counts: np.ndarray, docs: int, damping: float = DAMPING) -> np.ndarray:
+    """Weights by counter, from 1 (in every document) to 1 + ``damping`` (under the floor)."""
     low = max(1.0, FLOOR * docs)
     x = np.log(max(docs, 2) / np.clip(counts, low, max(low, docs)))
     top = np.log(max(docs, 2) / low)
-    return (1 + DAMPING * (x / top if top > 0 else np.ones_like(x))).astype(np.float32)
+    return (1 + damping * (x / top if top > 0 else np.ones_like(x))).astype(np.float32)
 
 
 def weights(hashes: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -249,8 +251,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     schema = "block int, counts binary"
     parts = docs.select("text").mapInArrow(tidied(local), schema)
-    # First in GROUPS groups of tasks, then over the groups, so no task reads a block of all tasks.
-    some = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).repartition("block", "g").select("block", "counts").mapInArrow(tidied(add), schema)
+    # First in groups of 512 tasks, then over the groups, so no task reads a block of all tasks.
+    some = parts.withColumn("g", F.shiftright(F.spark_partition_id(), GROUP_BITS)).repartition("block", "g").select("block", "counts").mapInArrow(tidied(add), schema)
     rows = some.repartition("block").mapInArrow(tidied(add), schema).collect()
     counts, n = np.zeros(COUNTERS, dtype=np.int64), 0  # the driver's
     for r in rows:
@@ -289,12 +291,13 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     """The pairs (a, b) whose texts have a similarity of ``least`` or more, with it.
 
     All pairs of one b meet its text in tasks of SALT pairs each, so a representative of very many
-    documents is spread; a task streams its rows and holds one representative at a time.
+    documents is spread; a task streams its rows and holds one representative at a time. An id with
+    several texts is similar if any of them is.
     """
     rows = salted(pairs, SALT).join(texts, "id").repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, None
+        head, own = None, []
         for batch in batches:
             for part, found in _chunks(batch):
                 h, tf, counts, _ = shingles(found)
@@ -305,14 +308,17 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
                 for i, (one, two, salt, kind) in enumerate(zip(*cols)):
                     x = slice(int(ends[i] - counts[i]), int(ends[i]))
                     if kind == 0:
-                        head, own = (two, salt), (h[x].copy(), w[x].copy())
-                    elif head == (two, salt) and (s := similarity((h[x], w[x]), own)) >= least:
+                        if head != (two, salt):
+                            head, own = (two, salt), []
+                        own.append((h[x].copy(), w[x].copy()))
+                    elif head == (two, salt) and (s := max(similarity((h[x], w[x]), y) for y in own)) >= least:
                         a.append(one)
                         b.append(two)
                         sim.append(s)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(sim, pa.float64())})
 
-    return rows.mapInArrow(tidied(run), "a long, b long, similarity double")
+    met = rows.mapInArrow(tidied(run), "a long, b long, similarity double")
+    return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def cells(texts: DataFrame, idf) -> DataFrame:
@@ -329,13 +335,13 @@ def cells(texts: DataFrame, idf) -> DataFrame:
     return texts.mapInArrow(tidied(run), "id long, cells binary")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 4, damping: float = DAMPING) -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the least id of the documents that links of
     similarity ``least`` or more connect, and the number of links found to other texts."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts, n = document_frequencies(docs)
-    idf = spark.sparkContext.broadcast(idf_of(counts, n))
+    idf = spark.sparkContext.broadcast(idf_of(counts, n, damping))
     keep: list[str] = []
     signed = written(signatures(docs, idf), "signatures", keep)
 
@@ -344,9 +350,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 8)
     heads = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "heads", keep)
     members = buckets(heads.select("id", F.explode("bands").alias("key")), keep)
     ids = members.select("id").distinct()
+    # An id whose rows have several texts keeps them all: none of its bands is checked by another text.
     texts = written(
         docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
-        .join(ids, "id").groupBy("id").agg(F.min("text").alias("text")),
+        .join(ids, "id").withColumn("t", F.xxhash64("text")).dropDuplicates(["id", "t"]).select("id", "text"),
         "texts", keep,
     )
 
@@ -357,14 +364,25 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 8)
         heads.select("digest", "id").join(parts, "id", "left").join(degree, "id", "left")
         .select("digest", F.coalesce("component", "id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
     )
-    return signed.select("doc_id", "digest").join(classes, "digest", "left").select(
+    done = signed.select("doc_id", "digest").join(classes, "digest", "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+    done = written(done, "classes")
+    drop(spark, keep)
+    return done
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose document is its class: one document of each class stays."""
-    gone = near_duplicates(docs, least).groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("__class")).where("__class <> __id")
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    """One row of ``docs`` for each class: that of the document with the class's id, and of several
+    such rows the one whose text is least in order. Rows without an id all stay."""
+    found = near_duplicates(docs, least).where("doc_id is not null")
+    by_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("__class"), F.count(F.lit(1)).alias("__rows"))
+    gone = by_id.where("__class <> __id").select("__id")
+    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    # Only ids that are there several times are looked at again.
+    again = by_id.where("__class = __id and __rows > 1").select("__id")
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]))
+    several = kept.join(again, kept["doc_id"] == again["__id"], "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return kept.join(again, kept["doc_id"] == again["__id"], "left_anti").unionByName(several)
