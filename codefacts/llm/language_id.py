@@ -11,7 +11,7 @@ many lanes of one array operation; all segments of the whole text count.
 
 The automata come from a bounded sample of the labelled rows: ``train_docs`` rows per language and
 ``train_symbols`` symbols of them at most, whatever the size of the input. Everything else covers
-all rows. Every letter of the labelled text has a code: the most frequent ones have a column each in
+all rows. Of a long text a piece at a place that a hash of it fixes is drawn. Every letter of the labelled text has a code: the most frequent ones have a column each in
 a table of moves, the others' moves, which are few a state, are looked up.
 
 Defined cases: a null text, one without letters, or a model without languages gives ``und`` and
@@ -225,7 +225,8 @@ def sample(docs: DataFrame, train_docs: int, train_symbols: int, seed: int = 7)
     """Texts by language, ``train_docs`` rows a language at most, fixed by the ids and the seed.
 
     Counts by language (pre-aggregated) give the share to draw, so no task sees a language's rows
-    all together; of a text at most ``4 * train_symbols / train_docs`` characters are taken.
+    all together; of a text at most ``4 * train_symbols / train_docs`` characters are taken, from a
+    place that its hash fixes, so that how texts begin is not learned alone.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     n = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -234,24 +235,26 @@ def sample(docs: DataFrame, train_docs: int, train_symbols: int, seed: int = 7)
     share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, 3 * train_docs / k))])
     drawn = unit("doc_id", F.xxhash64("text"), seed=seed)
     piece = max(1, 4 * train_symbols // train_docs)
+    at = F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(F.lit(1), F.char_length("text") - piece + 1)).cast("int") + 1
     rows = (
         usable.withColumn("u", drawn)
         .where(F.col("u") < share[F.col("lang")])
         .groupBy("lang")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("u", F.substring("text", 1, piece).alias("t")))), 1, train_docs).alias("x"))
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct("u", F.substr("text", at, F.lit(piece)).alias("t")))), 1, train_docs).alias("x"))
         .collect()
     )
     return {r["lang"]: [x["t"] for x in r["x"]] for r in rows}
 
 
 def held_out(doc_id: Column | str) -> Column:
-    """The rows that a model may not learn from."""
-    return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 == 2
+    """The rows that a model may not learn from; a row without an id is none of them."""
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.coalesce(F.crc32(text) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, train_docs: int = 200, train_symbols: int = 30_000) -> Model:
     """A model from the labelled rows of ``docs`` that are not held out."""
-    usable = docs.where(F.coalesce(~held_out("doc_id"), F.lit(True)))
+    usable = docs.where(~held_out("doc_id"))
     model = fit(sample(usable, train_docs, train_symbols), train_symbols)
     give_back()
     return model

@@ -131,6 +131,13 @@ FROM p LEFT JOIN best b ON b.page_id = p.page_id AND b.n = 1
 
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+first AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN least < page_id THEN least END AS refers_to
+FROM p LEFT JOIN first USING (payload_digest)
+""",
     "op5_line_dedup": f"""
 WITH {_LINES}
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,

@@ -61,7 +61,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
     """``captures`` with ``verdict``, ``kind``, ``value`` and ``since`` of the entry that decided."""
-    asked = captures.select(F.col(url).alias("u"), F.col(fetched).cast("date").alias("f")).where("u is not null and f is not null").distinct()
+    asked = captures.select(F.col(f"`{url}`").alias("u"), F.col(f"`{fetched}`").cast("date").alias("f")).where("u is not null and f is not null").distinct()
     keyed = asked.select("u", "f", F.trunc("f", "month").alias("month"), F.explode(keys_of(F.col("u"))).alias("k")).select("u", "f", "month", "k.*")
     # The range of fetch dates, one row, bounds the months of intervals that still hold.
     first, last = (F.lit(x).cast("date") for x in asked.agg(F.min("f"), F.max("f")).first())
@@ -73,10 +73,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
         .drop("lo", "hi")
     )
     active = keyed.join(spread, ["kind", "value", "month"]).where("f >= since and (until is null or f < until)")
-    best = active.groupBy("u", "f").agg(F.min_by(F.struct("action", "kind", "value", "since"), "rank").alias("e"))
-    found = captures.join(best, captures[url].eqNullSafe(best["u"]) & captures[fetched].cast("date").eqNullSafe(best["f"]), "left")
-    added = ("verdict", "kind", "value", "since")
+    best = active.groupBy(F.col("u").alias("__url"), F.col("f").alias("__day")).agg(F.min_by(F.struct("action", "kind", "value", "since"), "rank").alias("__entry"))
+    found = captures.join(best, captures[f"`{url}`"].eqNullSafe(best["__url"]) & captures[f"`{fetched}`"].cast("date").eqNullSafe(best["__day"]), "left")
+    added, entry = ("verdict", "kind", "value", "since"), best["__entry"]
     return found.select(
-        *[captures[c] for c in captures.columns if c not in added],
-        F.coalesce("e.action", F.lit("none")).alias("verdict"), F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), F.col("e.since").alias("since"),
+        *[captures[f"`{c}`"] for c in captures.columns if c not in added],
+        F.coalesce(entry["action"], F.lit("none")).alias("verdict"), entry["kind"].alias("kind"), entry["value"].alias("value"), entry["since"].alias("since"),
     )

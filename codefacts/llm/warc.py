@@ -57,7 +57,6 @@ def record(page: int, url: str | None, payload: bytes, digest: str, refers_to: i
         f"WARC-Target-URI: {where}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-ID: {page}",
-        f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
@@ -142,15 +141,17 @@ def classified(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     """(page_id, url, html, digest, refers_to): equal long payloads refer to the least id, which
     itself, like any other response, refers to nothing.
 
-    The digest is computed by the JVM; a digest that very many pages share is pre-aggregated, and
-    only (id, digest) rows are shuffled, not bodies."""
+    The JVM computes the digests. What refers to what is found among (id, digest) rows; a digest that
+    very many pages share is pre-aggregated. The pages then meet only the list of those that refer,
+    so bodies move no further than their task unless that list outgrows a broadcast."""
+    body = F.encode("html", "UTF-8")
     rows = pages.where("page_id is not null").select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")
-    )
-    body = F.encode("html", "UTF-8")
-    rows = rows.withColumn("digest", F.sha2(body, 256)).withColumn("long_", F.octet_length(body) >= min_revisit)
-    shared = rows.where("long_").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    return rows.join(shared, F.when(F.col("long_"), F.col("digest")) == F.col("d"), "left").select("page_id", "url", "html", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    ).withColumn("digest", F.sha2(body, 256))
+    long_ = rows.where(F.octet_length(body) >= min_revisit).select("page_id", "digest")
+    shared = long_.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to <> last").drop("last")
+    refers = long_.join(shared, "digest").where("page_id <> refers_to").distinct()
+    return rows.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write(pages: DataFrame, min_revisit: int = 100, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +191,18 @@ def write(pages: DataFrame, min_revisit: int = 100, keep: list[str] | None = Non
 def read(bundles: DataFrame) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of every
     record of the bundles, frame by frame by the seek table. A response's length and digest are
-    those of the bytes read; a revisit has them from its headers and no payload."""
+    those of the bytes read. A revisit has no payload, and length and digest are those read of the
+    response that it refers to; null if there is none with the digest that it names."""
+    found = records(bundles)
+    heads = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    revisits = found.where("record_type = 'revisit'").select("page_id", "url", "record_type", "refers_to", F.col("payload_digest").alias("named"))
+    heads = heads.select(F.col("refers_to").alias("to"), "payload_digest", "payload_bytes")
+    met = revisits.join(heads, (F.col("refers_to") == F.col("to")) & (F.col("named") == F.col("payload_digest")), "left")
+    return found.where("record_type = 'response'").unionByName(met.drop("to", "named").withColumn("payload", F.lit(None).cast("binary")))
+
+
+def records(bundles: DataFrame) -> DataFrame:
+    """The same of the records as they stand: a revisit's digest is the one that it names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,12 +217,12 @@ def read(bundles: DataFrame) -> DataFrame:
                         rows.append((
                             int(head["X-Page-ID"]), head["WARC-Target-URI"], head["WARC-Type"],
                             int(head["X-Refers-To-Page"]) if revisit else None,
-                            int(head["X-Payload-Length"]) if revisit else len(payload),
+                            None if revisit else len(payload),
                             head["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
                             None if revisit else payload,
                         ))
                     yield pa.RecordBatch.from_pandas(
-                        pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]),
+                        pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"], dtype=object),
                         schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]),
                     )
 

@@ -30,6 +30,20 @@ def test_warc_round_trip(spark, tmp_path):
     files = warc.export(bundles, str(tmp_path / "out")).collect()
     assert all(len(warc.seek_table(open(f["path"], "rb").read())) for f in files)
     assert warc.read(warc.write(pages.limit(0))[0]).count() == 0
+    # Repeated rows of the least id are all responses; of another id all revisits.
+    again = spark.createDataFrame([(1, "u", body), (1, "u", body), (2, "v", body), (2, "v", body), (2, "v", "other")], pages.schema.fieldNames()[:3])
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.read(warc.write(again)[0]).collect())
+    n = len(body.encode())
+    assert got == [(1, "response", 0, n)] * 2 + [(2, "response", 0, 5)] + [(2, "revisit", 1, n)] * 2
+    # A revisit whose response is gone has no length and no digest: what it says isn't taken on trust.
+    alone = bundles.where("false").unionByName(bundles.sparkSession.createDataFrame([("b", bytearray(_only_revisit()))], bundles.schema))
+    assert [(r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read(alone).collect()] == [("revisit", None, None)]
+
+
+def _only_revisit():
+    out = warc.BundleWriter()
+    out.add(warc.record(5, "u", b"x" * 200, "00" * 32, 3))
+    return out.finish()
 
 
 def test_neighbours_brute_force(spark):
@@ -83,6 +97,10 @@ def test_url_edges(spark):
         [("http://U@A.x.org.:80/p?q#f", "block", "domain"), ("http://a.x.org/p?q", "allow", "host"), ("http://a.x.org/p?q", "block", "url"), ("http://b.a.x.org/", "allow", "domain"), ("nothing", "none", ""), ("", "none", ""), ("http://x.org", "none", ""), ("http://yx.org", "none", "")]
     )
     assert url_filter.evaluate(got.limit(0), entries).count() == 0
+    clash = spark.createDataFrame([("http://x.org", "2024-01-05", 1, 2, 3, 4, 5)], "url string, fetched_on string, e int, u int, f int, month int, `a.b` int")
+    got = url_filter.evaluate(clash, entries).first()
+    assert got.verdict == "block" and (got.e, got.u, got.f, got.month, got["a.b"]) == (1, 2, 3, 4, 5)
+    assert url_filter.evaluate(clash.unionByName(clash), entries.limit(0)).select("verdict").collect() == [("none",)] * 2
 
 
 def test_pipeline(spark):
