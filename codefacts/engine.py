@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .functions.scalar import fnv1a, source_lines
 from .operators import incremental
 from .operators.resolve import references, resolve, resolve_precise
-from .plans import queries
+from .plans import commands, queries
 from .schema import CALL, EXTREF, INDEX_VERSION, META, REF, SCHEMAS
 from .sources import rust, scip, tree
 from .store import Facts, current, drop, fresh_path, save, written
@@ -123,6 +123,11 @@ class Engine:
             log.warning("%d files changed since the precise index was read; read a new one", late)
         return changed
 
+    def answer(self, command: str, *words: str, limit: int | None = queries.LIMIT) -> DataFrame:
+        """The whole answer to ``callers``, ``refs``, ``read``, ``impact`` or ``tests`` of a name."""
+        more = {} if command == "tests" else {"limit": limit}
+        return getattr(commands, command)(self.facts, *words, **more)
+
     def __getattr__(self, name: str):
         f = getattr(queries, name, None)
         if name.startswith("_") or f is None or not callable(f):

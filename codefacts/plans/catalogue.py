@@ -20,6 +20,7 @@ from ..operators.resolve import coverage, resolve_precise
 from ..schema import RESOLUTIONS
 from ..sources import corpus
 from ..store import Facts, fresh_path, save, written
+from . import commands
 from . import queries as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +168,31 @@ query(
     f"SELECT callee, count(*) AS n FROM call c JOIN sym o ON o.sym_id = c.caller WHERE o.name = {COMMON} AND callee_sym IS NULL GROUP BY callee ORDER BY n DESC, callee LIMIT 12",
 )(lambda x: Q.callees_external(x.facts, x.common))
 
+_TOTALS = (
+    "SELECT 'count' AS section, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS line, label, CAST(n AS VARCHAR) AS detail, CAST(4 AS BIGINT) AS total FROM ("
+    "SELECT unnest(['name_total', 'confirmed', 'candidates', 'other']) AS label, unnest([a, b, c, greatest(0, a - b - c)]) AS n FROM ("
+    "SELECT count(*) FILTER (WHERE callee = {name}) AS a, count(*) FILTER (WHERE hit) AS b, count(*) FILTER (WHERE callee = {name} AND callee_sym IS NULL) AS c "
+    "FROM (SELECT x.*, callee_sym IN (SELECT sym_id FROM sym WHERE name = {name}) AS hit FROM call x)))"
+)
+query(
+    "callers_answer",
+    f"""SELECT * FROM (SELECT 'confirmed' AS section, CAST(row_number() OVER (ORDER BY f.path, c.line, o.label, call_id) AS INTEGER) AS rank, f.path, CAST(c.line AS BIGINT) AS line, o.label,
+CASE WHEN length(trim(o.sig)) > 110 THEN substr(trim(o.sig), 1, 110) || '…' ELSE trim(o.sig) END AS detail, count(*) OVER () AS total {_CONFIRMED}{HOT}) WHERE rank <= 50
+UNION ALL SELECT * FROM (SELECT 'candidate', CAST(row_number() OVER (ORDER BY f.path, c.line, o.label, res, call_id) AS INTEGER) AS rank, f.path, CAST(c.line AS BIGINT), o.label,
+list_extract(['unresolved', 'unique', 'qualified', 'ambiguous'], res + 1), count(*) OVER () FROM call c JOIN named o ON o.sym_id = c.caller JOIN file f ON f.file_id = c.file_id
+WHERE callee = {HOT} AND callee_sym IS NULL) WHERE rank <= 50 UNION ALL {_TOTALS.format(name=HOT)}""",
+)(lambda x: commands.callers(x.facts, x.hot))
+query(
+    "callers_answer_several",
+    f"""SELECT * FROM (SELECT 'summary' AS section, CAST(row_number() OVER (ORDER BY coalesce(n, 0) DESC, sym_id) AS INTEGER) AS rank, path, CAST(line AS BIGINT) AS line, label, CAST(coalesce(n, 0) AS VARCHAR) AS detail,
+count(*) OVER () AS total FROM named LEFT JOIN (SELECT callee_sym, count(*) AS n FROM call GROUP BY callee_sym) ON callee_sym = sym_id WHERE name = {COMMON}) WHERE rank <= 50 UNION ALL {_TOTALS.format(name=COMMON)}""",
+)(lambda x: commands.callers(x.facts, x.common))
+query(
+    "refs_answer",
+    f"""SELECT * FROM (SELECT 'reference' AS section, CAST(row_number() OVER (ORDER BY path, r.line, role_, r.col) AS INTEGER) AS rank, path, CAST(r.line AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS label, role_ AS detail,
+count(*) OVER () AS total FROM roled r JOIN file USING (file_id) JOIN (SELECT sym_id FROM sym WHERE name = {HOT}) USING (sym_id)) WHERE rank <= 50""",
+)(lambda x: commands.refs(x.facts, x.hot))
+
 # Symbols.
 query("sym_by_name", _list(f"name = {COMMON}", ", sig, doc"))(lambda x: Q.definition(x.facts, x.common))
 query("sym_outline", _list("path = (SELECT min(path) FROM file)", ", sig, doc"))(lambda x: Q.outline(x.facts, x.path))

@@ -1,8 +1,13 @@
 """The engine over a small crate of our own with answers checked by hand."""
 
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
 from codefacts.engine import Engine
+from codefacts.plans import commands
+from codefacts.schema import EXTREF
 
 ROOT_MANIFEST = '[workspace]\nmembers = ["shop", "till"]\n'
 SHOP = """//! Orders of a shop.
@@ -228,3 +233,27 @@ def test_precise_index(spark, tree, tmp_path, caplog):
     finally:
         for p in many:
             p.unlink()
+
+
+def test_answers(engine):
+    """The branch, the order, the limit and what is left out."""
+    found = lambda *a, **k: [(r["section"], r["rank"], r["label"], r["detail"], r["total"]) for r in engine.answer(*a, **k).orderBy("section", "rank").collect()]
+    assert [x for x in found("callers", "receipt") if x[0] != "count"] == [("candidate", 1, "prepared", "unresolved", 1), ("confirmed", 1, "checkout", "receipt(basket.taxed())", 1)]
+    assert {(x[2], x[3]) for x in found("callers", "receipt") if x[0] == "count"} == {("name_total", "2"), ("confirmed", "1"), ("candidates", "1"), ("other", "0")}
+    assert [x[:4] for x in found("callers", "cents", limit=1) if x[0] == "summary"][0][3] == "0" and found("callers", "cents", limit=1)[-1][-1] == 2
+    assert [x[2] for x in found("callers", "receipts") if x[0] == "suggestion"] == ["receipt"]
+    assert [x[3] for x in found("read", "rounded")] == ["    pub fn rounded(x: u64) -> u64 {", "        x / 100", "    }"]
+    assert [x[3] for x in found("read", "cents")] == ["fn cents(&self) -> u64", "fn cents(&self) -> u64"] and found("refs", "levy") == []
+    assert [(r.depth, r["rank"], r.label, r.total) for r in engine.answer("impact", "rounded").orderBy("depth").collect()] == [(1, 1, "levy", 1), (2, 1, "Priced::taxed", 1), (3, 1, "checkout", 1)]
+    assert [(r["rank"], r.depth, r.label) for r in engine.answer("tests", "prepared").collect()] == [(1, 1, "receipt_keeps_total")]
+
+
+def test_across(spark, engine):
+    """One name over two stores; references meet definitions by their symbols."""
+    f = engine.facts
+    named = replace(f, sym=f.sym.withColumn("symbol", F.when(F.col("name") == "levy", "shop levy").otherwise("")))
+    other = replace(f, sym=f.sym.where("name <> 'levy'"), call=f.call.withColumn("callee_sym", F.lit(None).cast("long")), extref=spark.createDataFrame([("shop levy", 1, 2, 3, 8)] * 2, EXTREF))
+    counts, defs, outside = commands.across({"here": named, "there": other, "nowhere": replace(other, call=f.call.limit(0))}, "levy")
+    assert sorted(map(tuple, counts.collect())) == [("here", 1, 1, 1), ("there", 0, 0, 1)]
+    assert [(r.repo, r["rank"], r.label) for r in defs.collect()] == [("here", 1, "levy")]
+    assert sorted((r.def_repo, r.repo, r.symbol, r.n) for r in outside.collect()) == [("here", "nowhere", "shop levy", 2), ("here", "there", "shop levy", 2)]
