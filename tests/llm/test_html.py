@@ -59,7 +59,7 @@ def test_the_lines_decide():
     assert kept[:4] == ["Title", LONG.strip(), "Source of all that", "Then."] and kept[-1] == f"{LONG}Last." and len(kept) == 5
     poem = "<article>" + "".join(f"<p>line {i}</p>" for i in range(9)) + "</article>"
     assert len(html_text.main_text(poem).split("\n\n")) == 9 and html_text.main_text("<main><p>Hi</p></main>") == "Hi"
-    bare = f"<body><div>Menu</div><div>{LONG}</div><div>{LONG}</div><div>© 2024 Someone, all rights reserved</div></body>"
+    bare = f"<body><div><a href='/'>Menu</a></div><div>{LONG}</div><div>{LONG}</div><div>© 2024 Someone, all rights reserved</div></body>"
     assert html_text.main_text(bare).split("\n\n") == [LONG.strip()] * 2
 
 
