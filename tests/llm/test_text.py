@@ -92,14 +92,37 @@ def test_lines(spark):
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], DOC)).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_runs(spark):
     a = spark.createDataFrame([(1, "x" * 50), (2, "x" * 50), (3, "y" * 60)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "x" * 50), (8, "z" * 60)], "doc_id long, text string")
+    a, b = (line_dedup.hashed(x, 40) for x in (a, b))
     runs = line_dedup.LineRuns(spark, fan_in=2)
-    assert runs.unseen(a).count() == 3
-    for _ in range(5):
-        runs.add(a)
-    assert sorted((r["n_docs"], r["owner"]) for r in runs.rows().collect()) == [(5, 3), (10, 2)]
-    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.unseen(a).count() == 0
+    assert runs.unseen(line_dedup.run_of(a)).count() == 2
+    for rows in (a, a, b, a, a):
+        runs.add(rows)
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    keys = [r for x in runs.runs() for r in x.collect()]
+    assert len(keys) == 5 and sum(r.fresh for r in keys) == 3  # each of the three keys is fresh once
+    assert runs.unseen(line_dedup.run_of(a)).count() == 0
+    assert sorted(r.owner for r in runs.frequent(4).collect()) == [3, 7] and sorted(r.owner for r in runs.frequent(1).collect()) == [3, 7, 8]
+    # Runs meet without an exchange: the anti-join of one with the others, and what they are compacted to.
+    one, *others = runs.runs()
+    assert "Exchange" not in plan_of(one.join(others[0].hint("merge"), "h", "left_anti")) and "Exchange" not in plan_of(runs.frequent(4))
+    assert "Exchange" not in plan_of(one.join(others[0].hint("merge"), "h", "full"))
+    runs.close()
+    assert runs.paths == {}
+
+
+def test_lines_clash(spark):
+    """Columns called like the added ones are replaced; repeated rows count one document each."""
+    rows = [(i % 2, "a" * 45 + "\nb", 7, 8, "k", "h") for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, key string, h string")
+    got = line_dedup.drop_repeated_lines(frame)
+    assert sorted(got.columns) == sorted(frame.columns) and sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == [(0, 2, 1, "b")] * 3 + [(1, 2, 0, "a" * 45 + "\nb")] * 3
 
 
 def plain_classes(docs):
@@ -220,3 +243,21 @@ def test_language_wide_alphabets():
     assert language_id.predict(small, texts)[0] == [*sorted(words_), "ko"]
     assert small.width < whole.width and language_id.phrases(small, texts)[0].tolist() == language_id.phrases(whole, texts)[0].tolist()
     assert language_id.predict(language_id.fit(train, 50_000), ["\U0001F600\U0001F680", some("got", 3)])[0] == ["und", "got"]
+
+
+def test_mixing_repeated_rows(spark):
+    """Equal rows are filled in one by one, and the mix has as many copies as the shares say."""
+    rows = [(1, "a b c", "x")] * 3 + [(2, "w " * 20, "y"), (3, "w " * 7, "y"), (3, "w " * 7, "y"), (None, "p q", None), (None, "p q", None), (4, None, "x"), (5, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit(1), "block": F.lit(2), "number": F.lit(3)})
+    found, made = mixing.shares(frame)
+    got = found.collect()
+    assert len(got) == len(rows) and found.columns == ["doc_id", "source", "size", "source_size", "target", "copies"]
+    for name, target in zip(made.sources, made.targets):
+        own = [r for r in got if r.source == name]
+        words = sum(r.size * len(r.copies) for r in own)
+        assert 0 <= target - words < max(r.size for r in own) and all(len(r.copies) <= 2 for r in own)
+    made = mixing.mix(frame)
+    assert made.columns == [*frame.columns, "shard"]
+    count = lambda rows: sorted(map(str, rows))
+    assert count((r.doc_id, r.text) for r in made.collect()) == count((r.doc_id, t) for r in got for t in [next(y for x, y, z in rows if x == r.doc_id and z == r.source and len((y or "").split()) == r.size)] for _ in r.copies)
+    assert mixing.mix(frame.limit(0)).count() == 0 and mixing.taken(frame.limit(0)).count() == 0
