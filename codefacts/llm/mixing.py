@@ -6,14 +6,16 @@ permuted order), and the tree deals these quotas out: the root holds all block c
 and each node draws how many of each source go to its left half of the output shards from the
 multivariate hypergeometric distribution. Leaves then take disjoint runs of the permuted blocks,
 and a shard is shuffled locally by a hash. What a source still lacks after whole blocks is filled
-with documents of one more block.
+from one more block: by whole parts of it, then by documents of one more part.
 
-The driver holds one row per block: ``BLOCKS`` a source at most, however large the sources are.
-Nothing else is gathered, and everything is fixed by the ids and the seed, so reruns agree.
+Sizes are kept as a table without texts. The driver holds one row per block: ``BLOCKS`` a source, and
+fewer each if that would be more than ``MOST_BLOCKS`` for all sources. Such lists are broadcast while
+they have no more rows than that, else they are joined. Everything is fixed by the ids and the seed,
+so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in the order; a
-source without words has target 0 and nothing of it is taken; rows of one id and text are taken
-together; a null id is an id like any other; an empty table gives an empty result;
+source without words has target 0 and nothing of it is taken; a null id is an id like any other;
+rows of one id lie in one block, and are filled in one by one; an empty table gives an empty result;
 columns called like the added ones are replaced.
 """
 
@@ -24,16 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import tidied, written
 
 #: Fixed value: what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-BLOCKS, SHARDS, PIECES = 256, 16, 64
+BLOCKS, SHARDS, PIECES, MOST_BLOCKS = 256, 16, 64, 1 << 18
+_COPIES = "array<struct<copy:int,shard:int>>"
 
 
 def size_of(text: Column) -> Column:
@@ -87,6 +89,18 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> list[np.
     return split(drawn, left, rng) + split(quotas - drawn, shards - left, rng)
 
 
+def fitting(order: Sequence[int], words: dict[int, int], lack: float) -> tuple[list[int], list[int], float]:
+    """The blocks that fit in what lacks, in their order, the others, and what is left."""
+    whole, skipped = [], []
+    for b in order:
+        if words[b] <= lack:
+            whole.append(b)
+            lack -= words[b]
+        else:
+            skipped.append(b)
+    return whole, skipped, lack
+
+
 def plan(blocks: list[tuple[str | None, int, int]], shards: int = SHARDS, seed: int = 11, **terms) -> Plan:
     """The plan for rows (source, block, words)."""
     names = sorted({s for s, _, _ in blocks if s is not None}) + [None] * any(s is None for s, _, _ in blocks)
@@ -103,13 +117,8 @@ def plan(blocks: list[tuple[str | None, int, int]], shards: int = SHARDS, seed:
         order = [b for b in rng.permutation(BLOCKS).tolist() if x.get(b)]
         passes = int(goal[i] // sizes[i]) if sizes[i] else 0
         run = [(b, k) for k in range(passes) for b in order]
-        lack, skipped = goal[i] - passes * sizes[i], []
-        for b in order:
-            if x[b] <= lack:
-                run.append((b, passes))
-                lack -= x[b]
-            else:
-                skipped.append(b)
+        whole, skipped, lack = fitting(order, x, goal[i] - passes * sizes[i])
+        run += [(b, passes) for b in whole]
         if skipped and lack >= 1:
             rest.append((i, skipped[0], passes, -1, lack))
         runs.append(run)
@@ -124,67 +133,103 @@ def plan(blocks: list[tuple[str | None, int, int]], shards: int = SHARDS, seed:
     return Plan(names, sizes, goal, copies, rest)
 
 
-def _dealt(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with its size, block and place in the permuted order."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    return docs.withColumns({"__size": size_of(F.col("text")), "__block": F.pmod(key, F.lit(BLOCKS)).cast("int"), "__hash": F.xxhash64("text"), "__key": F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"))})
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
 
 
-def shares(docs: DataFrame, shards: int = SHARDS, seed: int = 11, **terms) -> tuple[DataFrame, Plan]:
-    """(doc_id, source, size, source_size, target, copies array<struct<copy, shard>>) of every row,
-    and the plan."""
+def _block(seed: int, blocks: int) -> Column:
+    return F.pmod(_hash(seed), F.lit(blocks)).cast("int")
+
+
+def _listed(rows: DataFrame, n: int) -> DataFrame:
+    """A list of ``n`` rows to be broadcast, if it is short enough for that."""
+    return F.broadcast(rows) if n <= MOST_BLOCKS else rows
+
+
+@dataclass
+class Mix:
+    """The lists that say what is taken: (name, number, source_size, target) of the sources, (number,
+    block, copies) of whole blocks; what fills the last blocks, by row of ``sizes``."""
+
+    sizes: DataFrame
+    sources: DataFrame
+    whole: DataFrame
+    extra: DataFrame
+    last: DataFrame
+    blocks: int
+    plan: Plan
+
+
+def decided(docs: DataFrame, shards: int = SHARDS, seed: int = 11, **terms) -> Mix:
+    """What is taken of ``docs``. Their texts are read once, for the sizes."""
     spark = docs.sparkSession
-    rows = _dealt(docs.select("doc_id", "source", "text"), seed).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
-    made = plan([(r["source"], r["__block"], r["n"]) for r in rows.groupBy("source", "__block").agg(F.sum("__size").alias("n")).collect()], shards, seed, **terms)
-    by_source = spark.createDataFrame(
-        pd.DataFrame({"__name": pd.Series(made.sources, dtype=object), "source_size": pd.Series(made.sizes, dtype="int64"), "target": pd.Series(made.targets, dtype="float64"), "__number": pd.Series(range(len(made.sources)), dtype="int64")}),
-        "__name string, source_size long, target double, __number long",
-    ) if made.sources else spark.createDataFrame([], "__name string, source_size long, target double, __number long")
+    sizes = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    sizes = written(sizes, "sizes")
+    n = max(1, sizes.select("source").distinct().count())
+    blocks = max(1, min(BLOCKS, 1 << max(0, (MOST_BLOCKS // n).bit_length() - 1)))
+    sums = sizes.groupBy("source", _block(seed, blocks).alias("block")).agg(F.sum("size").alias("n")).collect()
+    made = plan([(r["source"], r["block"], r["n"]) for r in sums], shards, seed, **terms)
+    frame = pd.DataFrame({"name": pd.Series(made.sources, dtype=object), "number": range(len(made.sources)), "source_size": made.sizes, "target": made.targets})
+    kind = "name string, number long, source_size long, target double"
+    sources = _listed(spark.createDataFrame(frame, kind) if made.sources else spark.createDataFrame([], kind), n)
     by_block: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, b, k, shard in made.copies:
         by_block.setdefault((i, b), []).append((k, shard))
-    blocks = spark.createDataFrame([(i, b, x) for (i, b), x in by_block.items()], "__number long, __block int, __copies array<struct<copy:int,shard:int>>")
-    last = spark.createDataFrame(made.rest, "__number long, __block int, __copy int, __shard int, __lack double")
-
-    # One row a source and BLOCKS rows a source at most: small enough to broadcast at any scale.
-    named = rows.join(F.broadcast(by_source), rows["source"].eqNullSafe(by_source["__name"]))
-    chosen = _fill(named.join(F.broadcast(last), ["__number", "__block"]))
-    extra = chosen.groupBy("__id", "__hash").agg(F.min(F.struct(F.col("__copy").alias("copy"), F.col("__shard").alias("shard"))).alias("__extra"), F.min("__number").alias("__number"))
-    found = named.join(F.broadcast(blocks), ["__number", "__block"], "left").alias("d").join(
-        extra.alias("x"),
-        F.col("d.doc_id").eqNullSafe(F.col("x.__id")) & (F.col("d.__number") == F.col("x.__number")) & (F.col("d.__hash") == F.col("x.__hash")),
-        "left",
-    )
-    none = F.array().cast("array<struct<copy:int,shard:int>>")
-    copies = F.concat(F.coalesce("d.__copies", none), F.when(F.col("x.__extra").isNull(), none).otherwise(F.array("x.__extra")))
-    return found.select(
-        "d.doc_id", "d.source", F.col("d.__size").alias("size"), "d.source_size", "d.target",
-        F.when(F.col("d.__size") > 0, copies).otherwise(none).alias("copies"), F.col("d.__hash").alias("hash"),
-    ), made
-
-
-def _fill(rows: DataFrame) -> DataFrame:
-    """The documents of each source's last block that fill what it lacks: in the permuted order,
-    each one that still fits. A task streams a source's rows, sorted; they are one of BLOCKS blocks."""
+    whole = _listed(spark.createDataFrame([(i, b, x) for (i, b), x in by_block.items()], f"number long, block int, copies {_COPIES}"), len(by_block))
+    last = _listed(spark.createDataFrame(made.rest, "number long, block int, copy int, shard int, lack double"), len(made.rest))
+
+    # The last blocks, part by part, then the rows of one more part.
+    named = sizes.join(sources, sizes["source"].eqNullSafe(sources["name"])).withColumn("block", _block(seed, blocks))
+    part = F.pmod(_hash(seed + 3), F.lit(blocks)).cast("int")
+    left = named.join(last, ["number", "block"]).withColumn("part", part)
+    words: dict[int, dict[int, int]] = {}
+    for r in left.groupBy("number", "part").agg(F.sum("size").alias("n")).where("n > 0").collect():
+        words.setdefault(r["number"], {})[r["part"]] = r["n"]
+    taken_parts, last_parts = [], []
+    for i, _, _, _, lack in made.rest:
+        own = words.get(i, {})
+        some, skipped, lack = fitting(sorted(own), own, lack)
+        taken_parts += [(i, p) for p in some]
+        if skipped and lack >= 1:
+            last_parts.append((i, skipped[0], lack))
+    some = _listed(spark.createDataFrame(taken_parts, "number long, part int"), len(taken_parts))
+    more = _listed(spark.createDataFrame(last_parts, "number long, part int, most double"), len(last_parts))
+    extra = left.join(some, ["number", "part"]).select("row", "copy", "shard").unionByName(_fill(left.join(more, ["number", "part"]), seed))
+    return Mix(named, sources, whole, written(extra, "extra"), last, blocks, made)
+
+
+def _fill(rows: DataFrame, seed: int) -> DataFrame:
+    """The rows that fill what a source still lacks: in the permuted order, each one that still fits.
+    A task streams a source's rows, sorted; they are one part of one of its blocks."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, lack = None, 0.0
         for part in parts:
             keep = []
-            for number, size, most in zip(part["__number"], part["__size"], part["__lack"]):
+            for number, size, most in zip(part["number"], part["size"], part["most"]):
                 if number != now:
                     now, lack = number, most
                 fits = 0 < size <= lack
                 lack -= size if fits else 0
                 keep.append(fits)
-            yield part.loc[keep, ["__id", "__number", "__hash", "__copy", "__shard"]]
+            yield part.loc[keep, ["row", "copy", "shard"]]
+
+    cols = rows.select("number", "size", "most", "row", "copy", "shard", _hash(seed + 1).alias("key"))
+    return cols.repartition("number").sortWithinPartitions("number", "key", "row").drop("key").mapInPandas(tidied(run), "row long, copy int, shard int")
+
 
-    cols = rows.select(F.col("doc_id").alias("__id"), "__number", "__size", "__hash", "__copy", "__shard", "__lack", "__key")
-    kind = cols.schema["__id"].dataType.simpleString()
-    return (
-        cols.repartition("__number").sortWithinPartitions("__number", "__key", "__id", "__hash")
-        .mapInPandas(tidied(run), f"__id {kind}, __number long, __hash long, __copy int, __shard int")
-    )
+def _none() -> Column:
+    return F.array().cast(_COPIES)
+
+
+def shares(docs: DataFrame, shards: int = SHARDS, seed: int = 11, **terms) -> tuple[DataFrame, Plan]:
+    """(doc_id, source, size, source_size, target, copies array<struct<copy, shard>>) of every row,
+    and the plan."""
+    d = decided(docs, shards, seed, **terms)
+    extra = d.extra.select("row", F.array(F.struct("copy", "shard")).alias("more"))
+    found = d.sizes.join(d.whole, ["number", "block"], "left").join(extra, "row", "left")
+    copies = F.concat(F.coalesce("copies", _none()), F.coalesce("more", _none()))
+    return found.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(_none()).alias("copies")), d.plan
 
 
 def taken(docs: DataFrame, **terms) -> DataFrame:
@@ -195,16 +240,30 @@ def taken(docs: DataFrame, **terms) -> DataFrame:
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 11, **terms) -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy taken, by shard, shuffled within it. The
-    columns are those of ``docs`` and ``shard``."""
-    found, _ = shares(docs, shards, seed, **terms)
-    few = (
-        found.where(F.size("copies") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("hash").alias("__hash"))
-        .agg(F.first("copies").alias("__copies"))
-    )
-    same = docs["doc_id"].eqNullSafe(few["__id"]) & docs["source"].eqNullSafe(few["__source"]) & (F.xxhash64(docs["text"]) == few["__hash"])
+    columns are those of ``docs`` and ``shard``.
+
+    Copies of whole blocks follow from the id and the source where a row is read; only rows of the
+    last blocks meet the list of those that fill them. The texts are shuffled once, by shard."""
+    d = decided(docs, shards, seed, **terms)
     cols = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    tag = lambda t: t.toDF(*[f"__{c}" for c in t.columns])
+    sources, whole, last = (tag(t) for t in (d.sources.select("name", "number"), d.whole, d.last.select("number", "block")))
+    rows = docs.where(F.coalesce(F.regexp_like(F.col("text"), F.lit(WORD)), F.lit(False))).withColumn("__block", _block(seed, d.blocks))
+    rows = rows.join(_listed(sources, len(d.plan.sources)), F.col("source").eqNullSafe(F.col("__name")))
+    rows = rows.join(_listed(whole, len(d.plan.copies)), ["__number", "__block"], "left")
+    last = _listed(last, len(d.plan.rest))
+    # Equal rows of one id are told apart by a count, the same here and among the sizes.
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1]))
+    filled = d.sizes.where("size > 0").join(_listed(d.last.select("number", "block"), len(d.plan.rest)), ["number", "block"], "left_semi")
+    filled = filled.withColumn("nth", nth("doc_id", "number", "hash", "row")).join(d.extra, "row")
+    filled = filled.select(F.col("doc_id").alias("__id"), F.col("number").alias("__of"), F.col("hash").alias("__text"), F.col("nth").alias("__n"), F.array(F.struct("copy", "shard")).alias("__more"))
+    at = rows.join(last, ["__number", "__block"], "left_semi").withColumn("__hash", F.xxhash64("text"))
+    at = at.withColumn("__nth", nth("doc_id", "__number", "__hash", F.lit(1)))
+    at = at.join(filled, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__number") == F.col("__of")) & (F.col("__hash") == F.col("__text")) & (F.col("__nth") == F.col("__n")), "left")
+    at = at.select(*cols, F.concat(F.coalesce("__copies", _none()), F.coalesce("__more", _none())).alias("__copies"))
+    plain = rows.join(last, ["__number", "__block"], "left_anti").where("__copies is not null").select(*cols, "__copies")
     place = F.xxhash64(F.lit(seed + 2), F.col("doc_id").cast("string"), "__one.copy")
-    rows = docs.join(few, same).select(*cols, F.explode("__copies").alias("__one")).select(*cols, F.col("__one.shard").alias("shard"), place.alias("__place"))
+    out = plain.unionByName(at).select(*cols, F.explode("__copies").alias("__one")).select(*cols, F.col("__one.shard").alias("shard"), place.alias("__place"))
     # A shard is cut into PIECES runs of its own shuffled order, so that a large one is many tasks.
-    rows = rows.withColumn("__piece", F.shiftrightunsigned("__place", 64 - PIECES.bit_length() + 1))
-    return rows.repartition("shard", "__piece").sortWithinPartitions("shard", "__piece", "__place").drop("__piece", "__place")
+    out = out.withColumn("__piece", F.shiftrightunsigned("__place", 64 - PIECES.bit_length() + 1))
+    return out.repartition("shard", "__piece").sortWithinPartitions("shard", "__piece", "__place").drop("__piece", "__place")
