@@ -143,7 +143,8 @@ def classified(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
 
     The JVM computes the digests. What refers to what is found among (id, digest) rows; a digest that
     very many pages share is pre-aggregated. The pages then meet only the list of those that refer,
-    so bodies move no further than their task unless that list outgrows a broadcast."""
+    by id and digest, so no page is dealt by a key that many share; Spark shuffles the bodies for that
+    join unless it knows beforehand that the list is short."""
     body = F.encode("html", "UTF-8")
     rows = pages.where("page_id is not null").select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")
