@@ -59,7 +59,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode_tokens),
 ]
 
-#: Language models, samplers and byte pairs are beyond SQL; tests hold each stage to brute force.
+#: Language models, samplers and byte pairs are beyond SQL. The operators are held to brute force one by
+#: one; the test of the pipeline holds what stages keep and return.
 ORACLE_SQL = None
 
 
