@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 The queue of a pre-token has a bucket per merge rank, a list of the positions whose pair has that
-rank, and a three-level bitmap over the ranks: find-first-set on each level gives the next rank.
+rank, and a two-level bitmap over the ranks: find-first-set on each level gives the next rank.
 Positions live in a linked list; a merge unlinks one, and entries whose pair has changed since are
 skipped when they come up. So a pre-token of n bytes takes O(n log n), also when it is very long.
 
@@ -30,22 +30,22 @@ from pyspark.sql import functions as F
 from .common import tidied
 
 #: Entries of one generation of the memo, and the longest pre-token that it takes, in characters.
-MEMO, MEMO_CHARS = 250_000, 32
+MEMO, MEMO_CHARS = 500_000, 32
+#: Single bits, of a leaf of 256 or of the top, which has one for each leaf: enough for 2^20 ranks.
+_BITS = [1 << i for i in range(1 << 12)]
 
 
 class RankQueue:
     """What the queue is made of; a drained queue is as good as new, so an encoder keeps one.
 
-    Bit m of ``top`` (a local of the merge loop) is set if ``middles[m]`` has a bit, bit l of that
-    if leaf ``m * 64 + l`` has one, and bit r of the leaf if the bucket of rank ``leaf * 64 + r``
-    has positions.
+    Bit l of ``top`` (a local of the merge loop) is set if leaf l has a bit, and bit r of a leaf if
+    the bucket of rank ``l * 256 + r`` has positions.
     """
 
-    __slots__ = ("buckets", "leaves", "middles")
+    __slots__ = ("buckets", "leaves")
 
     def __init__(self, ranks: int) -> None:
-        self.middles = [0] * ((ranks >> 12) + 1)
-        self.leaves = [0] * ((ranks >> 6) + 1)
+        self.leaves = [0] * ((ranks >> 8) + 1)
         self.buckets: list[list[int]] = [[] for _ in range(ranks)]
 
 
@@ -56,6 +56,7 @@ class BytePairs:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = {r: b for b, r in self.ranks.items()}
+        self.bytes = [self.ranks.get(bytes([b])) for b in range(256)]
         self.queue = RankQueue(max(self.pieces) + 1)
         #: Whether an id takes two bytes; the memo keeps ids packed.
         self.narrow = max(self.pieces) < 1 << 16
@@ -70,66 +71,56 @@ class BytePairs:
         if (whole := ranks.get(word)) is not None:
             return (whole,)
         n = len(word)
-        # Token i covers word[i:nxt[i]]; pair[i] is the rank of it and the next one, or -1.
-        nxt, prv = [*range(1, n + 1)], [*range(-1, n - 1)]
-        get, buckets, leaves, middles, top = ranks.get, self.queue.buckets, self.queue.leaves, self.queue.middles, 0
+        # Token i covers word[i:nxt[i]]; pair[i] is the rank of it and the next one, or -1; own[i] is its id.
+        nxt, prv, own = [*range(1, n + 1)], [*range(-1, n - 1)], [*map(self.bytes.__getitem__, word)]
+        get, bits, buckets, leaves, top = ranks.get, _BITS, self.queue.buckets, self.queue.leaves, 0
         pair = [get(word[i : i + 2], -1) for i in range(n - 1)]
-        pair.append(-1)
-        fresh = [(r, i) for i, r in enumerate(pair) if r >= 0]
+        pair.append(-1)  # the last one's, and what position -1 reads
+        fresh = range(n - 1)
         while True:
-            for r, i in fresh:  # push
+            for i in fresh:  # push
+                r = pair[i]
+                if r < 0:
+                    continue
                 bucket = buckets[r]
                 if bucket:
                     heappush(bucket, i)
                 else:
                     bucket.append(i)
-                    leaf = r >> 6
-                    middle = r >> 12
-                    leaves[leaf] |= 1 << (r & 63)
-                    middles[middle] |= 1 << (leaf & 63)
-                    top |= 1 << middle
+                    leaf = r >> 8
+                    leaves[leaf] |= bits[r & 255]
+                    top |= bits[leaf]
             if not top:
                 break
-            fresh = []
             # Find-first-set on each level, then the leftmost position of that rank.
-            middle = (top & -top).bit_length() - 1
-            bits = middles[middle]
-            leaf = middle << 6 | (bits & -bits).bit_length() - 1
-            bits = leaves[leaf]
-            low = bits & -bits
-            r = leaf << 6 | low.bit_length() - 1
+            leaf = (top & -top).bit_length() - 1
+            left = leaves[leaf]
+            low = left & -left
+            r = leaf << 8 | low.bit_length() - 1
             bucket = buckets[r]
             if len(bucket) > 1:
                 i = heappop(bucket)
             else:
                 i = bucket.pop()
-                leaves[leaf] = bits = bits ^ low
-                if not bits:
-                    middles[middle] = bits = middles[middle] ^ 1 << (leaf & 63)
-                    if not bits:
-                        top ^= 1 << middle
+                leaves[leaf] = left = left ^ low
+                if not left:
+                    top ^= bits[leaf]
             if pair[i] != r:
-                continue  # stale
+                fresh = ()  # stale
+                continue
             j = nxt[i]
-            end = nxt[j]
-            pair[j] = -1
-            nxt[i] = end
+            nxt[i] = end = nxt[j]
+            own[i], own[j], pair[j] = r, -1, -1
             if end < n:
                 prv[end] = i
-                pair[i] = new = get(word[i : nxt[end]], -1)
-                if new >= 0:
-                    fresh.append((new, i))
+                pair[i] = get(word[i : nxt[end]], -1)
             else:
                 pair[i] = -1
-            if (h := prv[i]) >= 0:
-                pair[h] = new = get(word[h:end], -1)
-                if new >= 0:
-                    fresh.append((new, h))
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[word[i : nxt[i]]])
-            i = nxt[i]
-        return tuple(ids)
+            h = prv[i]
+            if h >= 0:
+                pair[h] = get(word[h:end], -1)
+            fresh = (h, i)
+        return tuple([x for x in own if x >= 0])
 
     def _missing(self, piece: str) -> bytes:
         found = self.old.get(piece)
