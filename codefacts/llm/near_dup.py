@@ -381,8 +381,10 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     by_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("__class"), F.count(F.lit(1)).alias("__rows"))
     gone = by_id.where("__class <> __id").select("__id")
     kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    # Only ids that are there several times are looked at again.
+    # Only ids that are there several times are looked at again; without any, the texts move once.
     again = by_id.where("__class = __id and __rows > 1").select("__id")
+    if again.isEmpty():
+        return kept
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]))
     several = kept.join(again, kept["doc_id"] == again["__id"], "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
     return kept.join(again, kept["doc_id"] == again["__id"], "left_anti").unionByName(several)
