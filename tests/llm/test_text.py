@@ -168,6 +168,9 @@ def test_near_duplicates(spark):
     assert got.pop(None) is None and got.pop(902) == 902 and got == want
     left = near_dup.drop_near_duplicates(frame.where("doc_id is not null"))
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({*want.values(), 902})
+    again = frame.unionByName(frame.where("doc_id in (0, 900)"))  # repeated ids and the null one
+    left = near_dup.drop_near_duplicates(again).collect()
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted({*want.values(), 902}) and len(left) == len({*want.values()}) + 2
     assert near_dup.near_duplicates(frame.limit(0)).count() == 0
 
 
