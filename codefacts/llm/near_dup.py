@@ -50,6 +50,8 @@ BINS, DRAWS, BANDS, ROWS = 32, 4, 25, 5
 CELLS = 128
 #: Documents that one task compares with one copy of a representative.
 SALT = 256
+#: Ids of dropped documents that are broadcast, 16 MB of them; beyond, the texts are shuffled once.
+MOST_IDS = 1 << 21
 #: Characters of text that one array operation takes.
 CHUNK = 1_000_000
 _MEMO = 100_000
@@ -374,17 +376,28 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 4,
     return done
 
 
-def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def _met(ids: DataFrame, n: int, most: int) -> DataFrame:
+    """Ids to be joined with the documents: broadcast while there are no more than ``most``."""
+    return F.broadcast(ids) if n <= most else ids
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY, most_ids: int = MOST_IDS) -> DataFrame:
     """One row of ``docs`` for each class: that of the document with the class's id, and of several
-    such rows the one whose text is least in order. Rows without an id all stay."""
+    such rows the one whose text is least in order. Rows without an id all stay.
+
+    The ids that go are written and counted. Up to ``most_ids`` of them are broadcast and the texts
+    stay where they are; more are joined by a shuffle of the texts. Both give the same rows.
+    """
     found = near_duplicates(docs, least).where("doc_id is not null")
     by_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("__class"), F.count(F.lit(1)).alias("__rows"))
-    gone = by_id.where("__class <> __id").select("__id")
+    told = written(by_id.select("__id", (F.col("__class") != F.col("__id")).alias("__gone"), "__rows").where("__gone or __rows > 1"), "dropped-ids")
+    n = told.agg(F.count_if(F.col("__gone")).alias("gone"), F.count_if(~F.col("__gone")).alias("again")).first()
+    gone = _met(told.where("__gone").select("__id"), n["gone"], most_ids)
     kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    # Only ids that are there several times are looked at again; without any, the texts move once.
-    again = by_id.where("__class = __id and __rows > 1").select("__id")
-    if again.isEmpty():
+    # Only ids that are there several times are looked at again; without any, that is all.
+    if not n["again"]:
         return kept
+    again = _met(told.where("not __gone").select("__id"), n["again"], most_ids)
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]))
     several = kept.join(again, kept["doc_id"] == again["__id"], "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
     return kept.join(again, kept["doc_id"] == again["__id"], "left_anti").unionByName(several)

@@ -171,6 +171,13 @@ def test_near_duplicates(spark):
     again = frame.unionByName(frame.where("doc_id in (0, 900)"))  # repeated ids and the null one
     left = near_dup.drop_near_duplicates(again).collect()
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted({*want.values(), 902}) and len(left) == len({*want.values()}) + 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # too many ids for a broadcast
+        shuffled = near_dup.drop_near_duplicates(again, most_ids=0)
+        assert sorted(map(str, shuffled.collect())) == sorted(map(str, left))
+        assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert near_dup.near_duplicates(frame.limit(0)).count() == 0
 
 
