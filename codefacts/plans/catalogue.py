@@ -317,13 +317,19 @@ query("unique_def_ranked", "SELECT name, sym_id, n FROM uniq WHERE n >= 3")(lamb
 query("called_names", "SELECT DISTINCT name FROM sym WHERE kind <= 1 AND strlen(name) >= 3 AND name IN (SELECT callee FROM call)")(lambda x: Q.called_names(x.facts))
 query("median_callers", "SELECT coalesce(max(n), 0) AS median FROM (SELECT n, row_number() OVER (ORDER BY n) AS i, count(*) OVER () AS total FROM uniq) WHERE i = total // 2 + 1")(lambda x: Q.median_callers(x.facts))
 query("hottest_call", "SELECT callee, count(*) AS n FROM call GROUP BY callee ORDER BY n DESC, callee LIMIT 1")(lambda x: Q.hottest_call(x.facts))
-query(
-    "grep_noise",
-    r"""SELECT name, grep, sure, cand, CASE WHEN grep > 0 THEN greatest(0, grep - sure - cand) / grep ELSE 0.0 END AS noise FROM (
-SELECT u.name, coalesce(g, 0) AS grep, coalesce(sure, 0) AS sure, coalesce(cand, 0) AS cand FROM (SELECT name FROM uniq WHERE n >= 3) u
+_NOISE = r"""SELECT name, grep, sure, cand, CASE WHEN grep > 0 THEN greatest(0, grep - sure - cand) / grep ELSE 0.0 END AS noise FROM (
+SELECT u.name, coalesce(g, 0) AS grep, coalesce(sure, 0) AS sure, coalesce(cand, 0) AS cand FROM _NAMES_ u
 LEFT JOIN (SELECT w AS name, count(*) AS g FROM (SELECT unnest(list_distinct(regexp_extract_all(line, '([0-9A-Za-z_]+)[ \t]*\(', 1))) AS w FROM lines) GROUP BY 1) x ON x.name = u.name
-LEFT JOIN (SELECT callee AS name, count(*) FILTER (WHERE s.name = callee) AS sure, count(*) FILTER (WHERE callee_sym IS NULL) AS cand FROM call c LEFT JOIN sym s ON s.sym_id = c.callee_sym GROUP BY 1) k ON k.name = u.name)""",
-)(lambda x: Q.grep_noise(x.facts, Q.unique_names(x.facts).select("name")))
+LEFT JOIN (SELECT callee AS name, count(*) FILTER (WHERE s.name = callee) AS sure, count(*) FILTER (WHERE callee_sym IS NULL) AS cand FROM call c LEFT JOIN sym s ON s.sym_id = c.callee_sym GROUP BY 1) k ON k.name = u.name)"""
+query("grep_noise", _NOISE.replace("_NAMES_", "(SELECT name FROM uniq WHERE n >= 3)"))(lambda x: Q.grep_noise(x.facts, Q.unique_names(x.facts).select("name")))
+_SAMPLE = "SELECT DISTINCT name FROM sym WHERE kind <= 1 AND strlen(name) >= 3 AND name IN (SELECT callee FROM call)"
+_SAMPLE = f"SELECT name FROM ({_SAMPLE}) ORDER BY md5('42:' || name), name LIMIT 100"
+query("sampled_names", _SAMPLE)(lambda x: Q.sampled_names(x.facts))
+query(
+    "quality_medians",
+    f"""SELECT count(*) AS names, list_sort(list(grep))[len(list(grep)) // 2 + 1] AS grep, list_sort(list(sure))[len(list(sure)) // 2 + 1] AS sure, list_sort(list(sure + cand))[count(*) // 2 + 1] AS classified,
+coalesce(list_sort(list(noise) FILTER (WHERE grep > 0))[count(*) FILTER (WHERE grep > 0) // 2 + 1], 0.0) AS noise FROM ({_NOISE.replace("_NAMES_", f"({_SAMPLE})")})""",
+)(lambda x: Q.quality(x.facts))
 query(
     "word_lines", f"SELECT path, CAST(ln AS INTEGER) AS line FROM lines JOIN file ON file_id = doc_id WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])' || {HOT} || '($|[^A-Za-z0-9_])')"
 )(lambda x: Q.word_lines(x.facts, x.hot))
