@@ -356,13 +356,8 @@ def quality(facts: Facts, n: int = 100, seed: int = 42) -> DataFrame:
     """One row for a sample of names: upper medians of lines found by text, of confirmed calls, of
     confirmed and candidate ones, and of the share of noise where there are such lines."""
     rows = grep_noise(facts, sampled_names(facts, n, seed))
-
-    def middle(c: Column) -> Column:  # n values at most
-        own = F.sort_array(F.collect_list(c))
-        return F.get(own, F.floor(F.size(own) / 2).cast("int"))
-
-    noise = middle(F.when(F.col("grep") > 0, F.col("noise")))
-    return rows.agg(_n("names"), middle(F.col("grep")).alias("grep"), middle(F.col("sure")).alias("sure"), middle(F.col("sure") + F.col("cand")).alias("classified"), F.coalesce(noise, F.lit(0.0)).alias("noise"))
+    noise = S.upper_median(F.when(F.col("grep") > 0, F.col("noise")))  # of n values at most
+    return rows.agg(_n("names"), *[S.upper_median(c).alias(a) for a, c in (("grep", F.col("grep")), ("sure", F.col("sure")), ("classified", F.col("sure") + F.col("cand")))], noise.cast("double").alias("noise"))
 
 
 def word_lines(facts: Facts, word: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The engine over a small crate of our own with answers checked by hand."""
 
+import hashlib
+import re
 from dataclasses import replace
 
 import pytest
@@ -156,6 +158,25 @@ def test_graph(engine):
     assert engine.call_path("rounded", "checkout").count() == 0
 
 
+def test_quality(engine):
+    """The sample is the seed's, and the medians are those of the lines and calls read one by one."""
+    facts = engine.facts
+    pool = {r["name"] for r in engine.called_names().collect()}
+    order = sorted(pool, key=lambda x: hashlib.md5(f"42:{x}".encode()).hexdigest())
+    assert {r["name"] for r in engine.sampled_names(3).collect()} == set(order[:3]) and len(pool) > 3
+    symbols = {r["sym_id"]: r["name"] for r in facts.sym.collect()}
+    calls = [(r["callee"], r["callee_sym"]) for r in facts.call.collect()]
+    sources = [x for text in (SHOP, TILL) for x in text.split("\n")]
+    grep = {n: sum(bool(re.search(rf"\b{n}\s*\(", x)) for x in sources) for n in pool}
+    sure = {n: sum(c == n and symbols.get(s) == n for c, s in calls) for n in pool}
+    both = {n: sure[n] + sum(c == n and s is None for c, s in calls) for n in pool}
+    noise = [max(0, grep[n] - both[n]) / grep[n] for n in pool if grep[n]]
+    got = engine.quality().first().asDict()
+    middle = lambda v: sorted(v)[len(v) // 2]
+    assert got == {"names": len(pool), "grep": middle(grep.values()), "sure": middle(sure.values()), "classified": middle(both.values()), "noise": middle(noise)}
+    assert got["grep"] > 0
+
+
 def test_search(engine):
     assert labels(engine.search("kind:fn", "vis:pub")) == ["checkout", "rounded"]
     assert labels(engine.search("kind:method", "calls:levy")) == ["Priced::taxed"]
