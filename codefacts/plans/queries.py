@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import asof, graph
+from ..operators.resolve import confirmed
 from ..schema import KINDS, METHOD, RESOLUTIONS, VISIBILITIES
 from ..store import Facts
 
@@ -316,6 +317,14 @@ def unique_names(facts: Facts, least: int = 3) -> DataFrame:
     return one.join(n, "sym_id").where(F.col("n") >= least).select("name", "sym_id", "n")
 
 
+def hot_name(sites: DataFrame, sym: DataFrame) -> str:
+    """The first of ``unique_names`` by most confirmed callers, then by name, from call-sites that
+    are not resolved yet; empty if there is none."""
+    one = sym.groupBy("name").agg(_n("defs"), F.min("sym_id").alias("sym_id")).where("defs = 1")
+    top = one.join(confirmed(sites, sym, one.select(F.col("name").alias("callee"))), "sym_id").orderBy(F.desc("n"), "name").first()
+    return top["name"] if top else ""
+
+
 def called_names(facts: Facts, least: int = 3) -> DataFrame:
     """Distinct names of functions and methods, of ``least`` bytes or more, that are called."""
     names = facts.sym.where((F.col("kind") <= METHOD) & (F.octet_length("name") >= least)).select("name").distinct()
